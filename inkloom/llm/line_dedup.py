@@ -56,7 +56,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, site: str = "source", site
     pairs = pairs.where(F.trim("__line") != "").select("__id", _digest(F.trim("__line")).alias("line")).join(wide, "line")
     gone = pairs.groupBy("__id").agg(F.collect_set("line").alias("__all"), F.collect_set(F.when(F.col("keeper").eqNullSafe(F.col("__id")), F.col("line"))).alias("__own"))
     gone = settle(spark, gone, "gone")
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    # Always merged: which documents are hit grows with the input, so no size of it is safe to broadcast.
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
     lines, every, own = _lines(F.col("text")), F.col("__all"), F.col("__own")
     digests = F.transform(lines, lambda x: _digest(F.trim(x)))
     kept = F.filter(
