@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from inkloom.llm._shared import settle, shared_path
 
-#: A payload is rows of 24 pixels, 24 rows at least: its size is a multiple of 576 bytes.
-SIDE, UNIT, PAD = 24, 576, 255
+#: A payload is rows of 576 pixels, one row at least: its size is a multiple of 576 bytes.
+SIDE, UNIT, PAD = 576, 576, 255
 #: Bytes of a PNG's signature and header chunk, all that metadata needs.
 HEADER = 33
 #: Bytes after which a task starts another shard.
@@ -34,7 +34,7 @@ def payload(raw: bytes) -> bytes:
 
 
 def encode(data: bytes) -> bytes:
-    """A grey 8-bit PNG, 24 pixels wide, of the payload; the same payload gives the same file."""
+    """A grey 8-bit PNG, 576 pixels wide, of the payload; the same payload gives the same file."""
 
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
@@ -43,7 +43,7 @@ def encode(data: bytes) -> bytes:
     lines = np.zeros((len(rows), SIDE + 1), np.uint8)  # each line begins with filter type 0
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", SIDE, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 9)) + chunk(b"IEND", b"")
 
 
 def header(start: bytes) -> tuple[int, int, int]:
@@ -115,33 +115,32 @@ class ShardWriter:
             self.out = None
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, root: str | None = None) -> DataFrame:
-    """Store the payload of each text; doc_id, n_bytes, digest, shard, offset and length.
+def write_shards(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
+    """Store the payload of each text; doc_id, n_bytes, digest (binary), shard, offset and length.
 
-    Every task attempt writes shards of its own name, and only attempts that
-    end well are in the manifest, a table in the shared folder. Within a shard a
-    digest is stored once; across shards the manifest's first place is the one
-    that readers use. root is a URI that pyarrow can open for writing.
+    Every task attempt writes shards of its own name below root, and only
+    attempts that end well are in the manifest, a table in the shared folder.
+    Within a shard a digest is stored once; across shards the manifest's first
+    place is the one that readers use. root is a URI that pyarrow can open.
     """
-    root = root or shared_path(spark, "media")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        writer, made = ShardWriter(root, f"part-{task.partitionId():06d}-{task.taskAttemptId()}"), []
+        writer = ShardWriter(root, f"{task.partitionId():06d}-{task.taskAttemptId()}")
         for batch in batches:
             made = []
             for key, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = cell.as_py() or b""
                 body = encode(payload(raw))
-                digest = hashlib.sha256(body).hexdigest()
-                shard, at, size = writer.add(digest, body)
-                made.append({"doc_id": key, "n_bytes": len(raw), "digest": digest, "shard": f"{root}/{shard}", "offset": at, "length": size})
+                digest = hashlib.sha256(body)
+                shard, at, size = writer.add(digest.hexdigest(), body)
+                made.append({"doc_id": key, "n_bytes": len(raw), "digest": digest.digest(), "shard": shard, "offset": at, "length": size})
             yield pa.RecordBatch.from_pylist(made, schema)
         writer.close()
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return settle(spark, rows.mapInArrow(work, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "manifest")
+    return settle(spark, rows.mapInArrow(work, "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"), "manifest")
 
 
 def places(manifest: DataFrame) -> DataFrame:
@@ -150,63 +149,85 @@ def places(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("digest").agg(first).select("digest", "at.*")
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The stored bytes at each row's place, the first `most` of them if given."""
-    name, source = None, None
-    for batch in batches:
-        out = []
-        for shard, at, size in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length"))):
-            if shard != name:
-                fs, base = _store(shard)
-                name, source = shard, fs.open_input_file(base)
-            source.seek(at)
-            out.append(source.read(size if most is None else min(most, size)))
-        yield batch, out
+class RangeReader:
+    """Reads stretches of shards; the last shard stays open."""
+
+    def __init__(self, root: str):
+        self.fs, self.base = _store(root)
+        self.name, self.source = None, None
 
+    def read(self, shard: str, at: int, size: int) -> bytes:
+        if shard != self.name:
+            self.name, self.source = shard, self.fs.open_input_file(f"{self.base}/{shard}")
+        self.source.seek(at)
+        return self.source.read(size)
 
-def metadata(found: DataFrame) -> DataFrame:
-    """digest, width, height and depth, from the header alone of each place."""
+
+def metadata(found: DataFrame, root: str) -> DataFrame:
+    """digest, width, height and depth of each place, from a range read of its header alone."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, heads in _ranges(batches, HEADER):
-            cols = [pa.array(c, pa.int32()) for c in zip(*map(header, heads))] or [pa.array([], pa.int32())] * 3
+        reader = RangeReader(root)
+        for batch in batches:
+            heads = [header(reader.read(s, a, HEADER)) for s, a in zip(batch.column("shard").to_pylist(), batch.column("offset").to_pylist())]
+            cols = [pa.array([h[k] for h in heads], pa.int32()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), *cols], names=["digest", "width", "height", "depth"])
 
-    return found.mapInArrow(work, "digest string, width int, height int, depth int")
+    return found.mapInArrow(work, "digest binary, width int, height int, depth int")
 
 
-def read_back(found: DataFrame) -> DataFrame:
-    """Digest, header columns and what the stored bytes of each place decode to; a wrong digest raises."""
+def read_back(found: DataFrame, root: str) -> DataFrame:
+    """What the stored bytes of each place decode to, and columns filled from its header; a wrong digest raises.
+
+    The metadata columns come from a range read of the header; the whole is read
+    after it.
+    """
+    kinds = {"digest": pa.binary(), "shard": pa.string(), "offset": pa.int64(), "length": pa.int64(), "width": pa.int32(), "height": pa.int32(), "depth": pa.int32(), "payload_bytes": pa.int64(), "payload_sha256": pa.binary(), "tail_crc32": pa.int64(), "feature": pa.string()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["digest", "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for batch, bodies in _ranges(batches, None):
+        reader = RangeReader(root)
+        for batch in batches:
             rows = []
-            for digest, body in zip(batch.column("digest").to_pylist(), bodies):
-                media = hashlib.sha256(body).hexdigest()
-                if media != digest:
-                    raise ValueError(f"stored bytes are not those of {digest}")
+            for digest, shard, at, size in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length"))):
+                head = header(reader.read(shard, at, HEADER))
+                body = reader.read(shard, at, size)
+                if hashlib.sha256(body).digest() != digest:
+                    raise ValueError(f"stored bytes are not those of {digest.hex()}")
                 data = decode(body)
-                rows.append((digest, *header(body[:HEADER]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(body), media, feature(data)))
-            kinds = [pa.string(), *[pa.int32()] * 3, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            cols = zip(*rows) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
+                rows.append((digest, shard, at, size, *head, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-32:]), feature(data)))
+            cols = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds.values())], names=list(kinds))
 
-    return found.mapInArrow(work, "digest string, width int, height int, depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return found.mapInArrow(work, "digest binary, shard string, offset long, length long, width int, height int, depth int, payload_bytes long, payload_sha256 binary, tail_crc32 long, feature string")
 
 
 def media_columns(spark: SparkSession, docs: DataFrame, root: str | None = None) -> DataFrame:
-    """doc_id, n_bytes and what lies in the store for each row of docs.
+    """doc_id, n_bytes and what lies in the store for each row of docs, with the place it lies at.
 
     Null texts count as empty and have a payload of 576 bytes of 255; equal
     texts share a stored file, so their columns are equal; repeated rows each
     get a row; an empty table gives none.
     """
+    root = root or shared_path(spark, "media")
     manifest = write_shards(spark, docs, root)
     found = settle(spark, places(manifest), "places")
-    ordered = found.repartition("shard").sortWithinPartitions("shard", "offset")
-    heads = metadata(ordered)
-    back = settle(spark, read_back(ordered).drop("width", "height", "depth"), "read")
-    columns = settle(spark, back.join(heads, "digest"), "columns")
-    out = manifest.select("doc_id", "n_bytes", "digest", "shard", "offset", "length").join(columns, "digest")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "shard", "offset", "length")
+    columns = read_back(found.repartition("shard").sortWithinPartitions("shard", "offset"), root)
+    columns = settle(spark, columns, "columns")
+    out = manifest.select("doc_id", "n_bytes", "digest").join(columns, "digest")
+    hexed = lambda c: F.lower(F.hex(c))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        hexed("payload_sha256").alias("payload_sha256"),
+        "tail_crc32",
+        F.col("length").alias("media_bytes"),
+        hexed("digest").alias("media_sha256"),
+        "feature",
+        "width",
+        "height",
+        "depth",
+        "shard",
+        "offset",
+        "length",
+    )
