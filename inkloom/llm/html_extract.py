@@ -33,7 +33,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 #: Neighbours on each side in smoothing; share of the page's largest path score from which a path is content.
-REACH, SHARE = 1, 0.1
+REACH, SHARE = 1, 0.36
 #: Tags that hold the article if there are any of them.
 ARTICLE = {"article", "main"}
 
@@ -191,7 +191,7 @@ def extract(page: str, share: float = SHARE) -> str:
         both[0] += min(b.linked, len(t))
         both[1] += len(t)
     keep = {p for p, s in scores.items() if s >= least and linked[p][0] <= 0.5 * linked[p][1]}
-    # Headings go with the content around them: they are short and end without a mark.
+    # Headings go with the content that follows them: they are short and end without a mark.
     first = next((i for i, (b, _) in enumerate(pairs) if b.path in keep), 0)
     heads = re.compile(r"/h[1-6]$")
     return "\n\n".join(t for i, (b, t) in enumerate(pairs) if b.path in keep or heads.search(b.path) and (i + 1 >= first))
