@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet
 import xxhash
@@ -28,10 +30,10 @@ CUTS = (
 )
 #: What a character without a piece costs below the least score, as in the library.
 UNKNOWN = 10.0
-#: Ends of edges that are folded together, and words that workers hold; further words are joined.
-BLOCK, HEAD = 32, 6_000_000
-#: Distinct words between blanks that a task gathers before it passes them on, or keeps at hand.
-GATHER, AT_HAND = 400_000, 400_000
+#: Characters of a stretch of a long word, and words that workers hold; further words are joined.
+BLOCK, HEAD = 32, 4_000_000
+#: Distinct words that a task gathers before it passes them on, and rows that workers take at a time.
+GATHER, ROWS = 200_000, 1024
 
 
 @dataclass(frozen=True)
@@ -89,44 +91,46 @@ def decode(ids: list[int], pieces: Pieces) -> str:
     return (raw[1:] if pieces.prefix and raw.startswith(b" ") else raw).decode(errors="replace")
 
 
-def _chunks(text: str, pieces: Pieces) -> list[str]:
-    """The escaped text in parts that no piece reaches over: at single blanks where that can be."""
-    if not text:
-        return []
-    if not pieces.prefix or "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-        return [escaped(text, pieces)]
-    return text.split(" ")
+def _chunks(texts: pa.Array, pieces: Pieces) -> pa.ListArray:
+    """Each text in parts that no piece reaches over: at single blanks where that can be, else whole and escaped."""
+    texts = pc.fill_null(texts, "")
+    whole = pc.replace_substring(texts, " ", SPACE)
+    if not pieces.prefix:
+        return pc.split_pattern(whole, " ")
+    odd = [pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE), pc.starts_with(texts, " "), pc.ends_with(texts, " ")]
+    either = reduce(pc.or_, odd)
+    return pc.split_pattern(pc.if_else(either, pc.binary_join_element_wise(SPACE, whole, ""), texts), " ")
 
 
-def words(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """The distinct words of all texts, with counts."""
-    cut = re.compile(pieces.cut)
+def _cut_all(chunks: Iterable[str], cut: re.Pattern[str], prefix: bool) -> list[list[str]]:
+    """The words of each chunk; chunks between single blanks get their escape back; an empty one has none."""
+    find = cut.findall
+    return [find(SPACE + c if prefix and c[0] != SPACE else c) if c else [] for c in chunks]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            each: Counter[str] = Counter()
-            for chunk, n in held.items():
-                for word in cut.findall(chunk if chunk.startswith(SPACE) or not pieces.prefix else SPACE + chunk):
-                    each[word] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(each.keys()), pa.string()), pa.array(list(each.values()), pa.int64())], names=["word", "n"])
+def words(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """The distinct words of all texts; n: in how many gatherings of up to GATHER words they are."""
+    cut, prefix = re.compile(pieces.cut), pieces.prefix
 
-        for batch in batches:
-            for cell in batch.column(0):
-                held.update(_chunks(cell.as_py() or "", pieces))
-                if len(held) > GATHER:
-                    yield flush()
-                    held = Counter()
-        yield flush()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        for batch in _small(batches):
+            chunks = _chunks(batch.column(0), pieces).flatten().unique().to_pylist()
+            held.update(chain.from_iterable(_cut_all(chunks, cut, prefix)))
+            if len(held) > GATHER:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
+                held = set()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
+        del held
+        pa.default_memory_pool().release_unused()
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(work, "word string, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(work, "word string")
+    return rows.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def edges(spark: SparkSession, found: DataFrame, pieces: Pieces) -> DataFrame:
     """The lattice of each word: word, stop, width, id, score of every substring that is a piece,
-    and of every other single character, with id -1.
+    and of every other single character, with the negative of its place for an id.
 
     Long words are exploded in stretches first, so that a substring is cut from
     a short string.
@@ -143,102 +147,99 @@ def edges(spark: SparkSession, found: DataFrame, pieces: Pieces) -> DataFrame:
     # The vocabulary of a model file: as large for any input.
     met = subs.join(F.broadcast(table), "piece", "left").where("id is not null or width = 1")
     unknown = F.lit(min(pieces.scores) - UNKNOWN)
-    return met.select("word", "stop", "width", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", unknown).alias("score"))
+    return met.select("word", "stop", "width", F.coalesce("id", -F.col("stop")).alias("id"), F.coalesce("score", unknown).alias("score"))
 
 
-def _fold(parts: Column, longest: int) -> Column:
-    """Widths and ids of the best path's last edges by stop, folded block by block.
+def _fold(edges_: Column, longest: int) -> Column:
+    """Viterbi over a word's edges, sorted by stop and from wide to narrow: the ids of its best path.
 
-    The state holds the best scores of the last `longest` stops and, for each
-    block, the chosen edges of its stops; of equal scores the widest edge wins.
+    The state holds the best score and path of the last `longest` stops, and the
+    best edge so far of the stop at hand; of equal scores the widest edge stays.
+    A character without a piece has the negative of its place for an id.
     """
-    pair = "array<struct<width:int,id:int>>"
 
-    def stop(part: Column, state: Column, at: Column) -> Column:
+    def pushed(state: Column) -> Column:
         tail = state["tail"]
-        ways = F.transform(
-            F.filter(part["edges"], lambda e: e["stop"] == at),
-            lambda e: F.struct((F.element_at(tail, -e["width"]) + e["score"]).alias("score"), e["width"].alias("width"), e["id"].alias("id")),
-        )
         kept = F.when(F.size(tail) >= longest, F.slice(tail, 2, longest)).otherwise(tail)
+        path = F.when(state["at"] == 0, F.array().cast("array<int>")).otherwise(F.concat(F.element_at(tail, -state["width"])["ids"], F.array(state["id"])))
+        return F.concat(kept, F.array(F.struct(state["score"].alias("score"), path.alias("ids"))))
 
-        def grow(best: Column) -> Column:
-            return F.struct(
-                F.concat(kept, F.array(best["score"])).alias("tail"),
-                F.concat(state["back"], F.array(F.struct(best["width"].alias("width"), best["id"].alias("id")))).alias("back"),
-            )
-
-        # Bound to a name this way, the best edge is found once and not for each field.
-        return F.transform(F.array(F.array_max(ways)), grow)[0]
+    def entry(tail: Column, e: Column, score: Column) -> Column:
+        return F.struct(tail.alias("tail"), e["stop"].alias("at"), score.alias("score"), (-e["back"]).alias("width"), e["id"].alias("id"))
 
-    def block(state: Column, part: Column) -> Column:
-        stops = F.sequence(part["first"], part["last"])
-        inner = F.aggregate(stops, F.struct(state["tail"].alias("tail"), F.array().cast(pair).alias("back")), lambda s, at: stop(part, s, at))
-        both = F.transform(F.array(inner), lambda x: F.struct(x["tail"].alias("tail"), F.concat(state["back"], F.array(x["back"])).alias("back")))
-        return both[0]
+    def step(state: Column, e: Column) -> Column:
+        # The stop at hand is not in the tail yet: an edge of one character starts at the tail's last entry.
+        score = F.element_at(state["tail"], e["back"])["score"] + e["score"]
+        moved = F.get(F.transform(F.array(pushed(state)), lambda t: entry(t, e, F.element_at(t, e["back"])["score"] + e["score"])), F.lit(0))
+        return F.when(e["stop"] != state["at"], moved).when(score > state["score"], entry(state["tail"], e, score)).otherwise(state)
 
-    start = F.struct(F.array(F.lit(0.0)).alias("tail"), F.array().cast(f"array<{pair}>").alias("back"))
-    return F.flatten(F.aggregate(parts, start, block)["back"])
+    start = F.struct(F.array().cast("array<struct<score:double,ids:array<int>>>").alias("tail"), F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(0).alias("width"), F.lit(0).alias("id"))
+    return F.aggregate(edges_, start, step, lambda s: F.element_at(pushed(s), -1)["ids"])
 
 
-def _trace(word: Column, back: Column, bytes_: tuple[int, ...]) -> Column:
-    """The ids along the best path, from its end backwards; characters without a piece as bytes."""
+def _spelt(word: Column, ids: Column, bytes_: tuple[int, ...]) -> Column:
+    """ids with the bytes of the characters that have no piece in their places."""
 
-    def step(state: Column, at: Column) -> Column:
-        edge = F.element_at(back, at)
-        raw = F.hex(F.encode(F.substring(word, at, F.lit(1)), "UTF-8"))
-        pairs = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int"))
-        spelt = F.transform(pairs, lambda v: F.element_at(F.array(*[F.lit(b) for b in bytes_]), v + 1))
-        new = F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(spelt)
-        return F.when(at == state["at"], F.struct((at - edge["width"]).alias("at"), F.concat(new, state["ids"]).alias("ids"))).otherwise(state)
+    def spell(place: Column) -> Column:
+        raw = F.hex(F.encode(F.substring(word, place, F.lit(1)), "UTF-8"))
+        values = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int"))
+        return F.transform(values, lambda v: F.element_at(F.array(*[F.lit(b) for b in bytes_]), v + 1))
 
-    n = F.length(word)
-    return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids")), step)["ids"]
+    each = F.transform(ids, lambda i: F.when(i >= 0, F.array(i)).otherwise(spell(-i)))
+    return F.when(F.exists(ids, lambda i: i < 0), F.flatten(each)).otherwise(ids)
 
 
 def encode_words(spark: SparkSession, found: DataFrame, pieces: Pieces) -> DataFrame:
-    """word and ids of each distinct, non-empty word: edges grouped by word, then folded.
+    """word, mark (its hash) and ids of each distinct, non-empty word: its edges grouped and folded in order.
 
-    A word's edges are grouped by block of stops first, so that the fold looks at
-    few edges for each stop and a word of any length is folded in linear time.
-    Both groupings keep the partitioning of the words, so no edge is shuffled.
+    The grouping keeps the partitioning of the words, so no edge is shuffled. The
+    fold takes each edge once, so a long word takes time in proportion.
     """
     # A number keeps Spark from merging small partitions: a word's edges are a hundred times its size.
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lattice = edges(spark, found.select("word").repartition(spread, "word"), pieces)
-    first = (F.floor((F.col("stop") - 1) / BLOCK) * BLOCK + 1).cast("int")
-    parts = lattice.groupBy("word", first.alias("first")).agg(F.collect_list(F.struct("stop", "width", "id", "score")).alias("edges"), F.max("stop").alias("last"))
-    whole = parts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("first", "last", "edges"))).alias("parts"))
-    done = whole.select("word", _fold(F.col("parts"), pieces.longest).alias("back"))
-    return done.select("word", _trace(F.col("word"), F.col("back"), pieces.bytes_).alias("ids"))
+    ordered = F.sort_array(F.collect_list(F.struct("stop", (-F.col("width")).alias("back"), "id", "score")))
+    whole = lattice.groupBy("word").agg(ordered.alias("edges"))
+    done = whole.select("word", _fold(F.col("edges"), pieces.longest).alias("ids"))
+    return done.select("word", F.xxhash64("word").alias("mark"), _spelt(F.col("word"), F.col("ids"), pieces.bytes_).alias("ids"))
+
+
+#: Spark's seed, so that its xxhash64 and ours agree.
+SEED = 42
 
 
 def _numbers(batch: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in batch), np.uint64, len(batch))
+    return np.array(list(map(xxhash.xxh64_intdigest, batch, repeat(SEED))), np.uint64)
 
 
 class Book:
-    """The ids of known words: sorted hashes, and the ids of all words end to end.
+    """The ids of known words: hashes in order, and the ids of all words end to end.
 
-    Files are read once for each worker; of words with equal hashes none is kept.
+    About 30 bytes a word; of words with equal hashes none could be told apart,
+    so they are refused.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, small: bool):
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
-        names = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")]
-        marks, sizes, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for name in sorted(names):
+        names = sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet"))
+        total = 0
+        for name in names:
             with fs.open_input_file(name) as file:
-                for batch in pyarrow.parquet.ParquetFile(file).iter_batches(columns=["word", "ids"]):
-                    marks.append(_numbers(batch.column("word").to_pylist()))
-                    lists = batch.column("ids")
-                    sizes.append(np.diff(lists.offsets.to_numpy()))
-                    ids.append(lists.flatten().to_numpy())
-        mark, size, flat = np.concatenate(marks), np.concatenate(sizes), np.concatenate(ids)
-        start = np.cumsum(size) - size
-        order = np.argsort(mark, kind="stable")
-        self.marks, self.size, self.start, self.flat = mark[order], size[order].astype(np.int32), start[order], flat
-        if len(mark) and (self.marks[1:] == self.marks[:-1]).any():
+                total += pyarrow.parquet.ParquetFile(file).metadata.num_rows
+        marks, stop, ids, at = np.empty(total, np.uint64), np.zeros(total + 1, np.int64), bytearray(), 0
+        kind = np.uint16 if small else np.int32
+        for name in names:
+            with fs.open_input_file(name) as file:
+                for batch in pyarrow.parquet.ParquetFile(file).iter_batches(65_536, columns=["mark", "ids"]):
+                    n, lists = len(batch), batch.column("ids")
+                    marks[at : at + n] = batch.column("mark").to_numpy().view(np.uint64)
+                    stop[at + 1 : at + n + 1] = stop[at] + np.cumsum(np.diff(lists.offsets.to_numpy()))
+                    ids += lists.flatten().to_numpy().astype(kind).tobytes()
+                    at += n
+        self.order = np.argsort(marks).astype(np.uint32)
+        self.marks, self.flat = marks[self.order], np.frombuffer(ids, kind)
+        self.stop = stop.astype(np.uint32) if stop[-1] < 1 << 32 else stop
+        if total and (self.marks[1:] == self.marks[:-1]).any():
             raise ValueError("two words have one hash")
 
     def find(self, batch: list[str]) -> np.ndarray:
@@ -247,83 +248,82 @@ class Book:
             return np.full(len(batch), -1)
         want = _numbers(batch)
         at = np.minimum(np.searchsorted(self.marks, want), len(self.marks) - 1)
-        return np.where(self.marks[at] == want, at, -1)
+        return np.where(self.marks[at] == want, self.order[at].astype(np.int64), -1)
+
+    def sizes(self, places: np.ndarray) -> np.ndarray:
+        """Ids of each place; none for unknown words."""
+        known = np.maximum(places, 0)
+        return np.where(places >= 0, self.stop[known + 1].astype(np.int64) - self.stop[known], 0) if len(self.marks) else np.zeros(len(places), np.int64)
 
     def gather(self, places: np.ndarray) -> np.ndarray:
-        size = self.size[places]
-        at = np.repeat(self.start[places] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return self.flat[at]
+        """The ids of all places end to end, unknown ones passed over."""
+        places = places[places >= 0]
+        size = self.sizes(places)
+        at = np.repeat(self.stop[places].astype(np.int64) - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return self.flat[at].astype(np.int32)
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def _encoded(docs: DataFrame, path: str, pieces: Pieces) -> DataFrame:
-    """row, doc_id, ids, gaps: the ids of known words, and where words are unknown (at, word), at counting ids."""
+    """doc_id, ids, gaps, exact, row: the ids of known words, and where words are unknown (at, word), at counting ids."""
     cut = re.compile(pieces.cut)
+    gap_type = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())]))
+
+    def one(words_: Iterable[str], book: Book) -> tuple[np.ndarray, list[dict]]:
+        """Ids and gaps of a text with unknown words."""
+        words_ = list(words_)
+        places = book.find(words_)
+        at = np.cumsum(book.sizes(places)).tolist()
+        return book.gather(places), [{"at": at[i], "word": words_[i]} for i in np.flatnonzero(places < 0).tolist()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        shelf = sys.modules.setdefault("__books__", type(sys)("__books__"))  # one book for each worker process
-        if getattr(shelf, "path", None) != path:
-            shelf.book, shelf.path = Book(path), path
-        book: Book = shelf.book
-        hand: dict[str, bytes] = {}  # ids of chunks all of whose words are known, as bytes
-        broken: dict[str, list[str]] = {}  # the words of other chunks
-
-        def learn(chunks: list[str]) -> None:
-            lists = [cut.findall(c if c.startswith(SPACE) or not pieces.prefix else SPACE + c) for c in chunks]
-            places = book.find([w for x in lists for w in x])
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            stop = np.cumsum(size)
-            whole = np.array([bool((places[a:b] >= 0).all()) for a, b in zip((stop - size).tolist(), stop.tolist())], bool)
-            flat = book.gather(places[np.repeat(whole, size)]).astype(np.int32)
-            width = np.add.reduceat(np.append(np.where(places >= 0, book.size[places], 0), 0), stop - size) if len(lists) else []
-            at = 0
-            for k, chunk in enumerate(chunks):
-                if whole[k]:
-                    n = int(width[k]) if size[k] else 0
-                    hand[chunk] = flat[at : at + n].tobytes()
-                    at += n
-                else:
-                    broken[chunk] = lists[k]
-
-        for batch in batches:
-            lists, gaps, exact = [], [], []
-            for cell in batch.column(1):
-                text = cell.as_py() or ""
-                chunks = _chunks(text, pieces)
-                new = [c for c in dict.fromkeys(chunks) if c not in hand and c not in broken]
-                if new:
-                    if len(hand) + len(broken) > AT_HAND:
-                        hand.clear()
-                        broken.clear()
-                        new = list(dict.fromkeys(chunks))
-                    learn(new)
-                gap: list[dict] = []
-                if not broken or not any(c in broken for c in chunks):
-                    ids = np.frombuffer(b"".join([hand[c] for c in chunks]), np.int32)
-                else:
-                    parts, at = [], 0
-                    for c in chunks:
-                        for word in broken.get(c, ()):
-                            place = book.find([word])
-                            if place[0] < 0:
-                                gap.append({"at": at, "word": word})
-                            else:
-                                parts.append(book.gather(place).astype(np.int32))
-                                at += len(parts[-1])
-                        if c in hand:
-                            parts.append(np.frombuffer(hand[c], np.int32))
-                            at += len(parts[-1])
-                    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-                lists.append(ids)
-                gaps.append(gap)
-                exact.append(None if gap else decode(ids.tolist(), pieces) == text)
-            sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            flat = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
-            ids_ = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            gaps_ = pa.array(gaps, pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids_, gaps_, pa.array(exact, pa.bool_()), batch.column(2)], names=["doc_id", "ids", "gaps", "exact", "row"])
+        book = Book(path, len(pieces.surface) < 1 << 16)
+        for batch in _small(batches):
+            chunks = _chunks(batch.column(1), pieces)
+            each = chunks.flatten().dictionary_encode()
+            which, known = each.indices.to_numpy(), each.dictionary.to_pylist()
+            lists = _cut_all(known, cut, pieces.prefix)
+            parts = list(chain.from_iterable(lists))
+            places = book.find(parts)
+            count = np.fromiter(map(len, lists), np.int64, len(lists))
+            # Ids of each distinct chunk: where they start in flat, and how many there are.
+            upto = np.concatenate(([0], np.cumsum(book.sizes(places))))
+            last = np.cumsum(count)
+            start, size = upto[last - count], upto[last] - upto[last - count]
+            flat = book.gather(places)
+            lost = np.concatenate(([0], np.cumsum(places < 0)))
+            broken = lost[last] > lost[last - count]
+            # Chunks that their ids do not decode to; one comparison for all, each by itself only if it fails.
+            wrong = np.zeros(len(known), bool)
+            if b"".join([pieces.surface[i] for i in flat.tolist()]) != "".join(parts).replace(SPACE, " ").encode() or any(SPACE in c for c in known):
+                wrong = np.array([SPACE in c or decode(flat[a : a + n].tolist(), pieces) != "".join(x)[pieces.prefix :].replace(SPACE, " ") for c, x, a, n in zip(known, lists, start.tolist(), size.tolist())], bool)
+            sizes = size[which]
+            ids = flat[np.repeat(start[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+            bounds = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+            ends = np.concatenate(([0], np.cumsum(sizes)))[bounds]
+            count_of = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags[which])))[bounds])
+            holes, doubt = count_of(broken), count_of(wrong)
+            gaps, exact = [[]] * len(batch), [True] * len(batch)
+            rebuilt: dict[int, np.ndarray] = {}
+            for i in np.flatnonzero(holes).tolist():
+                rebuilt[i], gaps[i] = one(chain.from_iterable(lists[w] for w in which[bounds[i] : bounds[i + 1]].tolist()), book)
+                exact[i] = None
+            if rebuilt:
+                rows_ = [rebuilt.get(i, ids[ends[i] : ends[i + 1]]) for i in range(len(batch))]
+                ids, ends = np.concatenate(rows_), np.concatenate(([0], np.cumsum([len(x) for x in rows_])))
+            for i in np.flatnonzero(doubt).tolist():
+                if exact[i]:
+                    exact[i] = decode(ids[ends[i] : ends[i + 1]].tolist(), pieces) == (batch.column(1)[i].as_py() or "")
+            made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made, pa.array(gaps, gap_type), pa.array(exact, pa.bool_()), batch.column(2)], names=["doc_id", "ids", "gaps", "exact", "row"])
+        # A worker lives on after its task: it gives the memory back.
+        del book
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(work, "doc_id long, ids array<int>, gaps array<struct<at:int,word:string>>, exact boolean, row long")
 
@@ -358,7 +358,7 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, head: int =
     rare = None
     if counts.count() > head:
         rank = counts.join(done, "word").orderBy(F.desc("n"), "word")
-        top = rank.limit(head).select("word", "ids")
+        top = rank.limit(head).select("word", "mark", "ids")
         path = shared_path(spark, "head")
         top.write.parquet(path)
         rare = done.join(spark.read.parquet(path).select("word"), "word", "left_anti")
