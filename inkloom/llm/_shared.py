@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +43,14 @@ def ship(spark: SparkSession, thing: object) -> Callable[[], object]:
     return get
 
 
+def give_back() -> None:
+    """Return memory that is free in this worker to the machine: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkloom.llm._shared import byte_words, components, settle
+from inkloom.llm._shared import byte_words, components, give_back, settle
 
 #: Node pairs that are expanded together, and products of node sizes that are compared outright.
 FRONT, LEAF = 1 << 19, 24
-#: Distinct fingerprints of one trie task; larger tries are cut again.
-TRIE_ROWS = 40_000
+#: Distinct fingerprints of one subtree; larger ones are cut again. Smaller ones are walked in bunches.
+TRIE_ROWS, BUNCH_ROWS = 40_000, 40_000
 SPACE = bytes(32 if b in b"\x20\x09\x0a\x0b\x0c\x0d" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -118,16 +118,19 @@ def _grid(frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i[keep], j[keep]
 
 
-def trie_pairs(codes: np.ndarray, width: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions of the sorted codes whose low width bits may differ in budget bits at most.
+def trie_pairs(codes: np.ndarray, width: int, budget: int, lead: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions of the sorted codes that agree in the lead bits and may differ in budget of the rest.
 
-    Starts from the root paired with itself and descends both nodes of a pair at
+    Starts from each node at depth lead paired with itself and descends both nodes of a pair at
     once: equal turns keep the count of differing bits, unequal turns add one,
     and pairs over budget are pruned. Pairs of small nodes are given out whole,
     for the caller to compare. The front is cut into bounded pieces, depth first.
     """
-    n = len(codes)
-    stack = [(width - 1, np.array([[0], [n], [0], [n], [0]], np.int64))]
+    top = codes >> np.uint64(width - lead) if lead else np.zeros(len(codes), np.uint64)
+    edges = np.concatenate(([0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(codes)])).astype(np.int64)
+    lo, hi = edges[:-1], edges[1:]
+    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+    stack = [(width - 1 - lead, np.array([lo, hi, lo, hi, np.zeros(len(lo), np.int64)]))]
     while stack:
         bit, frame = stack.pop()
         small = (frame[1] - frame[0]) * (frame[3] - frame[2]) <= LEAF if bit >= 0 else np.ones(frame.shape[1], bool)
@@ -167,8 +170,8 @@ def trie_pairs(codes: np.ndarray, width: int, budget: int) -> Iterator[tuple[np.
             stack.append((bit - 1, below[:, at : at + FRONT]))
 
 
-def spanning(bits: np.ndarray, codes: np.ndarray, width: int, near: int, far: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links under one trie: row numbers, nearest pairs of a front first."""
+def spanning(bits: np.ndarray, codes: np.ndarray, width: int, near: int, far: int, lead: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links below each node at depth lead: row numbers, nearest pairs of a front first."""
     order = np.argsort(codes, kind="stable")
     codes, bits = codes[order], bits[order]
     mask = np.uint64((1 << width) - 1)
@@ -181,7 +184,7 @@ def spanning(bits: np.ndarray, codes: np.ndarray, width: int, near: int, far: in
             x = int(root[x])
         return x
 
-    for i, j in trie_pairs(codes, width, near):
+    for i, j in trie_pairs(codes, width, near, lead):
         for at in range(0, len(i), 1 << 20):
             a, b = i[at : at + (1 << 20)], j[at : at + (1 << 20)]
             apart = root[a] != root[b]
@@ -268,8 +271,8 @@ def links(spark: SparkSession, fps: DataFrame, scheme: Scheme) -> DataFrame:
         hot = hot.select("id", "fp", "task", "head", F.explode(cut).alias("c")).select("id", "fp", "task", "head", "c.again", "c.more")
         parts = parts.join(large, ["task", "head"], "left_anti").select(*hot.columns).unionByName(hot)
 
-    def work(key: tuple, group: pa.Table) -> pa.Table:
-        t, first = tasks[key[0].as_py()]
+    def work(task: int, again: int, group: pa.Table) -> pa.Table:
+        t, first = tasks[task]
         ids = group.column("id").to_numpy()
         fp = group.column("fp").combine_chunks()
         bits = np.asarray(fp.flatten()).astype(np.int64).view(np.uint64).reshape(len(ids), scheme.words)
@@ -277,35 +280,38 @@ def links(spark: SparkSession, fps: DataFrame, scheme: Scheme) -> DataFrame:
         for start, width in _order(t, scheme.width, first):
             for b in range(start, start + width):
                 codes = (codes << np.uint64(1)) | ((bits[:, b // 64] >> np.uint64(63 - b % 64)) & np.uint64(1))
-        forest = spanning(bits, codes, scheme.width, scheme.near, scheme.far) if len(ids) > 1 else []
+        forest = spanning(bits, codes, scheme.width, scheme.near, scheme.far, first[0][1])
         a, b = (ids[[e[k] for e in forest]] if forest else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All groups of a partition; its rows come sorted by group."""
+        """The subtrees of a partition, whose rows come sorted by subtree; small ones of a task together."""
         held: list[pa.RecordBatch] = []
-        key = None
+        key: tuple[int, ...] | None = None
+        rows = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> list[pa.RecordBatch]:
             group = pa.Table.from_batches(held)
-            return work((pa.scalar(key[0]),), group).combine_chunks().to_batches()
+            held.clear()
+            return work(key[0], key[2], group).to_batches() if len(group) > 1 else []
 
         for batch in batches:
             cols = [np.asarray(batch.column(c)) for c in ("task", "head", "again", "more")]
             cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if len(batch) else []
-            edges = [0, *list(cuts), len(batch)]
-            for lo, hi in zip(edges, edges[1:]):
-                if hi == lo:
-                    continue
-                now = tuple(int(c[lo]) for c in cols)
-                if held and now != key:
-                    if sum(map(len, held)) > 1:
-                        yield from flush()
-                    held = []
+            firsts = [0, *list(cuts)] if len(batch) else []
+            begin = 0
+            for lo, now in zip(firsts, zip(*(c[firsts].tolist() for c in cols))):
+                # A part that was cut again stands alone: its rows come once more in other parts of its subtree.
+                if key is not None and now != key and (now[0] != key[0] or now[2] >= 0 or key[2] >= 0 or rows + lo - begin >= BUNCH_ROWS):
+                    held.append(batch.slice(begin, lo - begin))
+                    yield from flush()
+                    begin, rows = lo, 0
                 key = now
-                held.append(batch.slice(lo, hi - lo))
-        if held and sum(map(len, held)) > 1:
+            held.append(batch.slice(begin))
+            rows += len(batch) - begin
+        if held:
             yield from flush()
+        give_back()
 
     keys = ["task", "head", "again", "more"]
     grouped = parts.repartition(*keys).sortWithinPartitions(*keys)
@@ -348,6 +354,7 @@ def _shingled(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 parts = set(shingles(scheme.split(cell.as_py() or b""), scheme.size))
                 sets.append(np.sort(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in parts), np.uint64, len(parts))).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+        give_back()
 
     return docs.select("id", F.col("text").cast("binary")).mapInArrow(work, "id long, set binary")
 
@@ -383,6 +390,7 @@ def representatives(spark: SparkSession, docs: DataFrame, scheme: Scheme = STAGE
                 marks.append(_signed(xxhash.xxh64_intdigest(b" ".join(scheme.split(raw)), 7)))
                 fps.append([_signed(x) for x in scheme.fingerprints(raw)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["row", "doc_id", "mark", "fp"])
+        give_back()
 
     rows = docs.select(key.alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     rows = settle(spark, rows.mapInArrow(work, "row long, doc_id long, mark long, fp array<long>"), "rows")
