@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes to blanks except digits, letters (lower-cased) and everything from 0x80.
@@ -77,9 +77,11 @@ def settle(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of links as (node, root), root the smallest node.
 
-    Alternates large-star and small-star rounds, each a window minimum, so no
-    neighbourhood is ever collected; the number of rounds grows with the
-    logarithm of the longest chain. Every round is written to the shared folder.
+    Alternates large-star and small-star rounds. Each takes the minimum of a
+    node's neighbours by an aggregation that starts before the exchange, and
+    joins it back, which Spark splits where a node has very many; no
+    neighbourhood is collected. The number of rounds grows with the logarithm
+    of the longest chain. Every round is written to the shared folder.
     Nodes without links are absent. Null ends and self links are ignored.
     """
     edges = settle(
@@ -92,11 +94,11 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.select("u", "v", low.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = F.min("v").over(Window.partitionBy("u"))
-        small = large.distinct().select("u", "v", low.alias("m"))
-        small = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        small = small.where("u <> v").distinct()
         edges = settle(spark, small, "stars")
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
