@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkloom.llm._shared import settle, shared_path
+from inkloom.llm._shared import give_back, settle, shared_path
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -33,7 +33,9 @@ UNKNOWN = 10.0
 #: Characters of a stretch of a long word, and words that workers hold; further words are joined.
 BLOCK, HEAD = 32, 4_000_000
 #: Distinct words that a task gathers before it passes them on, and rows that workers take at a time.
-GATHER, ROWS = 200_000, 1024
+GATHER, ROWS = 150_000, 400
+#: Rows of a batch between Spark and its workers, and files of the table that workers read.
+BATCH, PARTS = 1000, 16
 
 
 @dataclass(frozen=True)
@@ -122,7 +124,7 @@ def words(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 held = set()
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
         del held
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(work, "word string")
     return rows.groupBy("word").agg(F.count("*").alias("n"))
@@ -213,9 +215,9 @@ def _numbers(batch: list[str]) -> np.ndarray:
 
 
 class Book:
-    """The ids of known words: hashes in order, and the ids of all words end to end.
+    """The ids of known words: hashes in order, as they come, and the ids of all words end to end.
 
-    About 30 bytes a word; of words with equal hashes none could be told apart,
+    About 20 bytes a word; of words with equal hashes none could be told apart,
     so they are refused.
     """
 
@@ -226,29 +228,28 @@ class Book:
         for name in names:
             with fs.open_input_file(name) as file:
                 total += pyarrow.parquet.ParquetFile(file).metadata.num_rows
-        marks, stop, ids, at = np.empty(total, np.uint64), np.zeros(total + 1, np.int64), bytearray(), 0
+        marks, stop, ids, at = np.empty(total, np.uint64), np.zeros(total + 1, np.uint32), bytearray(), 0
         kind = np.uint16 if small else np.int32
         for name in names:
             with fs.open_input_file(name) as file:
                 for batch in pyarrow.parquet.ParquetFile(file).iter_batches(65_536, columns=["mark", "ids"]):
                     n, lists = len(batch), batch.column("ids")
                     marks[at : at + n] = batch.column("mark").to_numpy().view(np.uint64)
-                    stop[at + 1 : at + n + 1] = stop[at] + np.cumsum(np.diff(lists.offsets.to_numpy()))
+                    stop[at + 1 : at + n + 1] = stop[at] + np.cumsum(np.diff(lists.offsets.to_numpy())).astype(np.uint32)
                     ids += lists.flatten().to_numpy().astype(kind).tobytes()
                     at += n
-        self.order = np.argsort(marks).astype(np.uint32)
-        self.marks, self.flat = marks[self.order], np.frombuffer(ids, kind)
-        self.stop = stop.astype(np.uint32) if stop[-1] < 1 << 32 else stop
-        if total and (self.marks[1:] == self.marks[:-1]).any():
-            raise ValueError("two words have one hash")
+        self.marks, self.flat = marks, np.frombuffer(ids, kind)
+        self.stop = stop
+        if (marks.view(np.int64)[1:] <= marks.view(np.int64)[:-1]).any():
+            raise ValueError("words out of order, or two with one hash")
 
     def find(self, batch: list[str]) -> np.ndarray:
         """The place of each word, -1 for unknown ones."""
         if not len(self.marks):
             return np.full(len(batch), -1)
-        want = _numbers(batch)
-        at = np.minimum(np.searchsorted(self.marks, want), len(self.marks) - 1)
-        return np.where(self.marks[at] == want, self.order[at].astype(np.int64), -1)
+        want = _numbers(batch).view(np.int64)
+        at = np.minimum(np.searchsorted(self.marks.view(np.int64), want), len(self.marks) - 1)
+        return np.where(self.marks.view(np.int64)[at] == want, at, -1)
 
     def sizes(self, places: np.ndarray) -> np.ndarray:
         """Ids of each place; none for unknown words."""
@@ -282,6 +283,7 @@ def _encoded(docs: DataFrame, path: str, pieces: Pieces) -> DataFrame:
         return book.gather(places), [{"at": at[i], "word": words_[i]} for i in np.flatnonzero(places < 0).tolist()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         book = Book(path, len(pieces.surface) < 1 << 16)
         for batch in _small(batches):
             chunks = _chunks(batch.column(1), pieces)
@@ -303,7 +305,9 @@ def _encoded(docs: DataFrame, path: str, pieces: Pieces) -> DataFrame:
             if b"".join([pieces.surface[i] for i in flat.tolist()]) != "".join(parts).replace(SPACE, " ").encode() or any(SPACE in c for c in known):
                 wrong = np.array([SPACE in c or decode(flat[a : a + n].tolist(), pieces) != "".join(x)[pieces.prefix :].replace(SPACE, " ") for c, x, a, n in zip(known, lists, start.tolist(), size.tolist())], bool)
             sizes = size[which]
-            ids = flat[np.repeat(start[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+            at = np.repeat((start[which] - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+            at += np.arange(len(at), dtype=np.int32)
+            ids = flat[at]
             bounds = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
             ends = np.concatenate(([0], np.cumsum(sizes)))[bounds]
             count_of = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags[which])))[bounds])
@@ -323,7 +327,7 @@ def _encoded(docs: DataFrame, path: str, pieces: Pieces) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), made, pa.array(gaps, gap_type), pa.array(exact, pa.bool_()), batch.column(2)], names=["doc_id", "ids", "gaps", "exact", "row"])
         # A worker lives on after its task: it gives the memory back.
         del book
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.mapInArrow(work, "doc_id long, ids array<int>, gaps array<struct<at:int,word:string>>, exact boolean, row long")
 
@@ -347,20 +351,24 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, head: int =
 
     Words are encoded once for the whole corpus. Workers read the ids of the
     `head` most frequent ones from the shared folder, a bounded table; rows with
-    further words get those by a join. Null and empty texts have no ids; texts
+    further words get those by a join. The session's Arrow batches are made
+    smaller if they are larger than BATCH rows. Null and empty texts have no ids; texts
     with the escape character itself decode to a blank there, so they are not
     exact; repeated rows each get a row; an empty table gives none.
     """
     pieces = load(model)
+    # Texts can be long: batches of 10,000 rows, Spark's default, would fill a worker.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     counts = settle(spark, words(docs, pieces).where("word <> ''"), "words")
     done = settle(spark, encode_words(spark, counts, pieces), "ids")
-    path = done.inputFiles()[0].rsplit("/", 1)[0] if done.inputFiles() else shared_path(spark, "none")
-    rare = None
+    top, rare = done, None
     if counts.count() > head:
-        rank = counts.join(done, "word").orderBy(F.desc("n"), "word")
-        top = rank.limit(head).select("word", "mark", "ids")
-        path = shared_path(spark, "head")
-        top.write.parquet(path)
+        top = counts.join(done, "word").orderBy(F.desc("n"), "word").limit(head).select("word", "mark", "ids")
+    path = shared_path(spark, "head")
+    # In the order of the hashes, from the first file to the last.
+    top.repartitionByRange(PARTS, "mark").sortWithinPartitions("mark").write.parquet(path)
+    if top is not done:
         rare = done.join(spark.read.parquet(path).select("word"), "word", "left_anti")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row"))
     full = _encoded(rows, path, pieces)
