@@ -33,9 +33,9 @@ UNKNOWN = 10.0
 #: Characters of a stretch of a long word, and words that workers hold; further words are joined.
 BLOCK, HEAD = 32, 4_000_000
 #: Distinct words that a task gathers before it passes them on, and rows that workers take at a time.
-GATHER, ROWS = 150_000, 400
+GATHER, ROWS = 80_000, 200
 #: Rows of a batch between Spark and its workers, and files of the table that workers read.
-BATCH, PARTS = 1000, 16
+BATCH, PARTS = 400, 16
 
 
 @dataclass(frozen=True)
