@@ -34,7 +34,7 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 #: Neighbours on each side in smoothing; share of the page's largest path score from which a path is content.
 REACH, SHARE = 1, 0.36
-#: Tags that hold the article if there are any of them.
+#: Tags by which a page names its article: evidence for the paths in them, weighed by their share of the text.
 ARTICLE = {"article", "main"}
 
 
@@ -42,7 +42,7 @@ ARTICLE = {"article", "main"}
 class Element:
     tag: str
     outside: int
-    article: bool
+    article: int
     path: str
 
 
@@ -50,7 +50,7 @@ class Element:
 class Block:
     path: str
     outside: int
-    article: bool
+    article: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -75,11 +75,12 @@ def blocks(page: str) -> list[Block]:
 
     Tolerant: paragraphs, list items and table cells end where the next begins,
     inline tags belong to no path, ends without a start count for nothing, and
-    what is open at the end is closed there.
+    what is open at the end is closed there. article is the number of the
+    outermost article or main element around a block, 0 without one.
     """
     out: list[Block] = []
-    stack = [Element("", 0, False, "")]
-    links, at, new = 0, 0, True
+    stack = [Element("", 0, 0, "")]
+    links, at, new, articles = 0, 0, True, 0
 
     def text(raw: str) -> None:
         nonlocal new
@@ -142,21 +143,33 @@ def blocks(page: str) -> list[Block]:
         if (m[3] or "").rstrip().endswith("/") and tag in ("svg", "math"):
             continue
         top = stack[-1]
-        stack.append(Element(tag, max(top.outside, _outside(tag, m[3] or "")), top.article or tag in ARTICLE, f"{top.path}/{tag}"))
+        article = top.article
+        if not article and tag in ARTICLE:
+            articles += 1
+            article = articles
+        stack.append(Element(tag, max(top.outside, _outside(tag, m[3] or "")), article, f"{top.path}/{tag}"))
     return out
 
 
+def _own(block: Block, text: str) -> int:
+    """Characters of a block outside links."""
+    return len(text) - min(len(text), block.linked)
+
+
 def path_scores(found: list[Block], texts: list[str]) -> dict[str, float]:
     """A score for each tag path: its smoothed text-length ratio times its smoothed punctuation ratio.
 
     Ratios are per node of the path. They are smoothed over the paths next to
-    each other in page order and fused by their geometric mean.
+    each other in page order and fused by their geometric mean. A path in
+    article or main elements gains by the share of the page's text in them.
     """
     paths: dict[str, list[float]] = {}
+    named = {b.path for b in found if b.article}
+    gain = sum(_own(b, t) for b, t in zip(found, texts) if b.article) / max(1, sum(map(_own, found, texts)))
     for b, t in zip(found, texts):
         sums = paths.setdefault(b.path, [0.0, 0.0, 0.0])
         sums[0] += 1
-        sums[1] += len(t) - min(len(t), b.linked)
+        sums[1] += _own(b, t)
         sums[2] += len(PUNCTUATION.findall(t)) if len(t) > b.linked else 0
     raw = np.array([[length / n, marks / n] for n, length, marks in paths.values()]).reshape(-1, 2)
     weights = np.array([[1.0, 1.0]] * len(raw)).reshape(-1, 2)
@@ -168,7 +181,8 @@ def path_scores(found: list[Block], texts: list[str]) -> dict[str, float]:
         smooth[:-k] += part * raw[k:]
         weights[:-k] += part
     smooth /= weights
-    return dict(zip(paths, np.sqrt((1 + smooth[:, 0]) * (0.1 + smooth[:, 1])).tolist()))
+    fused = np.sqrt((1 + smooth[:, 0]) * (0.1 + smooth[:, 1])).tolist()
+    return {p: s * (1 + gain if p in named else 1) for p, s in zip(paths, fused)}
 
 
 def extract(page: str, share: float = SHARE) -> str:
@@ -178,9 +192,6 @@ def extract(page: str, share: float = SHARE) -> str:
     pairs = [(b, t) for b, t in zip(found, texts) if t and not b.outside]
     if not pairs:  # a wrapper of the whole page bears such a name
         pairs = [(b, t) for b, t in zip(found, texts) if t and b.outside < 2]
-    if any(b.article for b, _ in pairs):
-        # The page says where its article is: its paths are content, whatever their ratios.
-        return "\n\n".join(t for b, t in pairs if b.article)
     if not pairs:
         return ""
     scores = path_scores([b for b, _ in pairs], [t for _, t in pairs])
@@ -191,10 +202,17 @@ def extract(page: str, share: float = SHARE) -> str:
         both[0] += min(b.linked, len(t))
         both[1] += len(t)
     keep = {p for p, s in scores.items() if s >= least and linked[p][0] <= 0.5 * linked[p][1]}
+    # An article or main element that holds most of what was found keeps its other text too: short parts of it score low.
+    size = {0: 0}
+    for b, t in pairs:
+        if b.path in keep:
+            size[b.article] = size.get(b.article, 0) + len(t)
+    most = max(size, key=size.get)
+    whole = most if 2 * size[most] > sum(size.values()) else 0
     # Headings go with the content that follows them: they are short and end without a mark.
     first = next((i for i, (b, _) in enumerate(pairs) if b.path in keep), 0)
     heads = re.compile(r"/h[1-6]$")
-    return "\n\n".join(t for i, (b, t) in enumerate(pairs) if b.path in keep or heads.search(b.path) and (i + 1 >= first))
+    return "\n\n".join(t for i, (b, t) in enumerate(pairs) if b.path in keep or whole and b.article == whole or heads.search(b.path) and (i + 1 >= first))
 
 
 def extract_pages(pages: DataFrame, share: float = SHARE) -> DataFrame:

@@ -33,3 +33,25 @@ def test_wrapper_names_do_not_hide_the_page():
 
 def test_deep_nesting():
     assert H.extract("<div>" * 3000 + "<p>Deep, text.</p>" + "</div>" * 3000) == "Deep, text."
+
+
+PROSE = "This is a sentence, and it goes on. It has marks; it is prose! "
+
+
+def test_pages_with_article_are_judged_by_tag_paths(monkeypatch):
+    seen = []
+    scores = H.path_scores
+    monkeypatch.setattr(H, "path_scores", lambda found, texts: seen.append(scores(found, texts)) or seen[-1])
+    assert "First para." in H.extract(PAGE)
+    assert len(seen) == 1 and any(p.endswith("/article/p") for p in seen[0])
+
+
+def test_teaser_article_does_not_hide_the_body():
+    page = f"<body><article><p>Read this too.</p></article><div><div>{PROSE * 3}</div><div>{PROSE * 2}</div></div></body>"
+    out = H.extract(page)
+    assert (PROSE * 3).strip() in out and (PROSE * 2).strip() in out
+
+
+def test_short_parts_of_the_article_stay():
+    page = f"<body><div>By us</div><article><h1>Head</h1><p>{PROSE * 4}</p><div>Lead</div><p>{PROSE * 4}</p><h2>List</h2><ul><li>one</li><li>two</li></ul></article></body>"
+    assert H.extract(page).endswith("List\n\none\n\ntwo") and "Lead" in H.extract(page)
