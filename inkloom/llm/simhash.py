@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkloom.llm._shared import byte_words, components, give_back, settle
+from inkloom.llm._shared import byte_words, components, give_back, settle, ship
 
 #: Node pairs that are expanded together, and products of node sizes that are compared outright.
 FRONT, LEAF = 1 << 19, 24
@@ -349,10 +350,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _shingled(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for cell in batch.column(1):
-                parts = set(shingles(scheme.split(cell.as_py() or b""), scheme.size))
-                sets.append(np.sort(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in parts), np.uint64, len(parts))).tobytes())
+            sets = [_hashes(scheme, scheme.split(cell.as_py() or b"")).tobytes() for cell in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
         give_back()
 
@@ -371,11 +369,162 @@ def _jaccard(a, b):
     return pd.Series(out, dtype="float64")
 
 
+#: One text in SAMPLE tells which shingles are frequent: those in SEEN of them or more, LATE at most.
+SAMPLE, SEEN, LATE = 64, 4, 100_000
+
+
+def _hashes(scheme: Scheme, words: list[bytes]) -> np.ndarray:
+    parts = set(shingles(words, scheme.size))
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in parts), np.uint64, len(parts)))
+
+
+def _mark(words: list[bytes]) -> int:
+    return _signed(xxhash.xxh64_intdigest(b" ".join(words), 7))
+
+
+def prefixes(spark: SparkSession, texts: DataFrame, scheme: Scheme, similarity: float) -> DataFrame:
+    """token, id (the mark) and n (distinct shingles) for the first shingles of each text in one order of all shingles.
+
+    Two sets of at least `similarity` share a shingle among the first
+    n - ceil(similarity * n) + 1 of each, whatever the order is. Here it is by
+    hash, but shingles that are frequent in a sample come last; so the sample
+    decides on the cost and not on what is found.
+    """
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_hashes(scheme, scheme.split(cell.as_py() or b"")) for cell in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], names=["token"])
+
+    texts = texts.select(F.col("text").cast("binary").alias("text"))
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(every, "token long")
+    often = sample.groupBy("token").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "token").limit(LATE)
+    late = ship(spark, np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = late()
+        for batch in batches:
+            heads, marks, sizes = [np.zeros(0, np.uint64)], [], []
+            for cell in batch.column(0):
+                words = scheme.split(cell.as_py() or b"")
+                h = _hashes(scheme, words)
+                if len(last):
+                    there = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
+                    h = np.concatenate([h[~there], h[there]])
+                heads.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1])
+                marks.append(_mark(words))
+                sizes.append(len(h))
+            times = [len(h) for h in heads[1:]]
+            arrays = [np.concatenate(heads).view(np.int64), np.repeat(np.array(marks, np.int64), times), np.repeat(np.array(sizes, np.int64), times)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["token", "id", "n"])
+        give_back()
+
+    return texts.mapInArrow(work, "token long, id long, n long")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct rows, sorted by token and id, whose token several ids have."""
+    held = np.zeros((3, 0), np.int64)
+
+    def several(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = np.any(rows[:2, 1:] != rows[:2, :-1], axis=0)
+        rows = rows[:, new]
+        _, of, n = np.unique(rows[0], return_inverse=True, return_counts=True)
+        rows = rows[:, n[of] > 1]
+        return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["token", "id", "n"])
+
+    for batch in batches:
+        if len(batch):
+            held = np.concatenate([held, np.array([c.to_numpy() for c in batch.columns])], axis=1)
+            cut = int(np.searchsorted(held[0], held[0, -1]))
+            if cut:
+                yield several(held[:, :cut])
+                held = held[:, cut:]
+    yield several(held)
+
+
+def matching(roots: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions of at least `similarity` that join all roots which such pairs of these sets connect."""
+    up = {r: r for r in roots}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(codes, kind="stable")]
+    ends = np.cumsum(np.bincount(codes))
+    starts = ends - np.bincount(codes)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    out = []
+    for i in range(len(sets) - 1):
+        mine = codes[at[i] : at[i + 1]]
+        n = ends[mine] - starts[mine]
+        where = np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[where], minlength=len(sets))
+        for j in (np.flatnonzero(both[i + 1 :] / (sizes[i] + sizes[i + 1 :] - both[i + 1 :]) >= similarity) + i + 1).tolist():
+            x, y = find(roots[i]), find(roots[j])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((i, j))
+    return out
+
+
+def missing_links(spark: SparkSession, texts: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scheme: Scheme, similarity: float) -> DataFrame:
+    """Links a, b of at least `similarity` that join components of known (id, root), enough to connect all that have one.
+
+    A prefix filter: exact, whatever the fingerprints are. Shingles whose texts
+    are one component already need nothing, and of shingles with the same texts
+    one is enough. Of the others all texts are compared at once, and a pair is
+    united only after it was checked.
+    """
+    first = prefixes(spark, texts, scheme, similarity).repartition("token").sortWithinPartitions("token", "id")
+    shared = first.mapInArrow(_shared, "token long, id long, n long").join(known, "id")
+    shared = settle(spark, shared.select("token", "id", "n", "root"), "shared")
+    groups = shared.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("n").alias("least"), F.max("n").alias("most"))
+    groups = groups.where((F.col("low") != F.col("high")) & ((F.col("rows") > 2) | (F.col("least") >= similarity * F.col("most") - 1e-6)))
+    groups = settle(spark, groups.groupBy("rows", "who").agg(F.min("token").alias("token")).select("token"), "tokens")
+    crossing = settle(spark, shared.join(groups, "token", "left_semi").select("token", "id", "root"), "crossing")
+    sets = settle(spark, sets_of(crossing.select("id").distinct()), "crossing-sets")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        roots: list[int] = []
+        held: list[np.ndarray] = []
+        token = None
+
+        def flush() -> pa.RecordBatch:
+            found = matching(roots, held, similarity) if len(ids) > 1 else []
+            out = [pa.array([ids[e[k]] for e in found], pa.int64()) for k in (0, 1)]
+            for x in (ids, roots, held):
+                x.clear()
+            return pa.RecordBatch.from_arrays(out, names=["a", "b"])
+
+        for batch in batches:
+            for t, i, r, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != token:
+                    yield flush()
+                    token = t
+                ids.append(i)
+                roots.append(r)
+                held.append(np.frombuffer(x, np.uint64))
+        yield flush()
+        give_back()
+
+    rows = crossing.join(sets, "id").select("token", "id", "root", "set").repartition("token").sortWithinPartitions("token")
+    return rows.mapInArrow(work, "a long, b long").distinct()
+
+
 def representatives(spark: SparkSession, docs: DataFrame, scheme: Scheme = STAGE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each near-duplicate group, that with the smallest doc_id.
 
-    Links are those of the tries whose five-word shingle sets have a Jaccard
-    similarity of at least `similarity`, checked exactly; rows whose texts have
+    Rows link whose five-word shingle sets have a Jaccard similarity of at least
+    `similarity`, checked exactly: those that the tries find, then all that
+    still cross the components of these. Rows whose texts have
     the same words link too, and so do all rows without words. A row with a
     null doc_id stays only if its group has no doc_id; of equal doc_ids the one
     with the smallest text stays. All columns of docs stay as they are.
@@ -387,7 +536,7 @@ def representatives(spark: SparkSession, docs: DataFrame, scheme: Scheme = STAGE
             marks, fps = [], []
             for cell in batch.column(2):
                 raw = cell.as_py() or b""
-                marks.append(_signed(xxhash.xxh64_intdigest(b" ".join(scheme.split(raw)), 7)))
+                marks.append(_mark(scheme.split(raw)))
                 fps.append([_signed(x) for x in scheme.fingerprints(raw)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["row", "doc_id", "mark", "fp"])
         give_back()
@@ -399,13 +548,21 @@ def representatives(spark: SparkSession, docs: DataFrame, scheme: Scheme = STAGE
     nodes = settle(spark, rows.groupBy("mark").agg(first.alias("first"), F.first("fp").alias("fp")).select(F.col("mark").alias("id"), "fp", "first"), "nodes")
     found = settle(spark, links(spark, nodes, scheme), "candidates")
     ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
-    ends = nodes.join(ends, "id", "left_semi").select("id", F.col("first.row").alias("row"))
-    texts = docs.select(key.alias("row"), "text").join(ends, "row").dropDuplicates(["id"])
-    sets = settle(spark, _shingled(texts, scheme), "sets")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ends = nodes.join(ids, "id", "left_semi").select("id", F.col("first.row").alias("row"))
+        return _shingled(docs.select(key.alias("row"), "text").join(ends, "row").dropDuplicates(["id"]), scheme)
+
+    sets = settle(spark, sets_of(ends), "sets")
     pairs = found.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    links_ = pairs.where(_jaccard("x", "y") >= similarity).select("a", "b")
+    links_ = settle(spark, pairs.where(_jaccard("x", "y") >= similarity).select("a", "b"), "links")
     roots = components(spark, links_)
+    # The tries miss some links, and their forest passes over pairs whose way round failed the check.
+    known = nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
+    more = settle(spark, missing_links(spark, docs, known, sets_of, scheme, similarity), "more")
+    if more.limit(1).count():
+        roots = components(spark, links_.unionByName(more))
     merged = nodes.join(roots, nodes["id"] == roots["node"], "left").select("first", F.coalesce("root", "id").alias("root"))
     keep = merged.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     name = "__row"

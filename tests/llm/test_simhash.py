@@ -91,3 +91,37 @@ def test_representatives(spark, make, rng):
     kept = sorted(repr(r.doc_id) for r in out.collect())
     assert kept == sorted(["3", "60", "70", "None", *(str(30 + i) for i in range(20))])
     assert S.representatives(spark, make([])).count() == 0
+
+
+def brute_kept(texts):
+    """Positions of the first texts of the components of Jaccard similarity 0.8 over five-word shingles."""
+    sets = [set(S.shingles(S.STAGE.split(t.encode()), 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+def edited(rng, words, count):
+    w = list(words)
+    for k in rng.sample(range(len(w)), count):
+        w[k] = f"new{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_dense_families_equal_brute_force(spark, make, rng):
+    texts = []
+    for low, high in ((3, 3), (1, 4)):
+        base = sentence(rng, 200, [f"w{i}" for i in range(3000)]).split(" ")
+        texts += [edited(rng, base, rng.randint(low, high)) for _ in range(100)]
+    kept = S.representatives(spark, make([(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert sorted(r.doc_id for r in kept) == brute_kept(texts)
