@@ -371,6 +371,8 @@ def _jaccard(a, b):
 
 #: One text in SAMPLE tells which shingles are frequent: those in SEEN of them or more, LATE at most.
 SAMPLE, SEEN, LATE = 64, 4, 100_000
+#: Texts of a shingle up to which their pairs are counted.
+PAIRED = 64
 
 
 def _hashes(scheme: Scheme, words: list[bytes]) -> np.ndarray:
@@ -479,17 +481,31 @@ def missing_links(spark: SparkSession, texts: DataFrame, known: DataFrame, sets_
 
     A prefix filter: exact, whatever the fingerprints are. Shingles whose texts
     are one component already need nothing, and of shingles with the same texts
-    one is enough. Of the others all texts are compared at once, and a pair is
-    united only after it was checked.
+    one is enough. Shingles of up to PAIRED texts give pairs; where two sets
+    share c of their first shingles, they share at most c + ceil(similarity * n)
+    - 1 in all, n the larger size. The texts of more frequent ones are compared
+    at once. A pair is united only after it was checked.
     """
     first = prefixes(spark, texts, scheme, similarity).repartition("token").sortWithinPartitions("token", "id")
     shared = first.mapInArrow(_shared, "token long, id long, n long").join(known, "id")
     shared = settle(spark, shared.select("token", "id", "n", "root"), "shared")
     groups = shared.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("n").alias("least"), F.max("n").alias("most"))
     groups = groups.where((F.col("low") != F.col("high")) & ((F.col("rows") > 2) | (F.col("least") >= similarity * F.col("most") - 1e-6)))
-    groups = settle(spark, groups.groupBy("rows", "who").agg(F.min("token").alias("token")).select("token"), "tokens")
-    crossing = settle(spark, shared.join(groups, "token", "left_semi").select("token", "id", "root"), "crossing")
-    sets = settle(spark, sets_of(crossing.select("id").distinct()), "crossing-sets")
+    groups = groups.groupBy("rows", "who").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "rows", "times")
+    crossing = settle(spark, shared.join(groups, "token"), "crossing")
+    # Texts that share no frequent shingle: pairs, if they share as many of the first shingles as the similarity needs.
+    few = crossing.where(F.col("rows") <= PAIRED)
+    one, two = (few.select("token", "times", *[F.col(c).alias(c + k) for c in ("id", "root", "n")]) for k in "12")
+    pairs = one.join(two.drop("times"), "token").where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")))
+    more, less = F.greatest("n1", "n2"), F.least("n1", "n2")
+    pairs = pairs.where(less >= similarity * more - 1e-6).groupBy("id1", "id2", "n1", "n2").agg(F.sum("times").alias("both"))
+    need = F.ceil(similarity / (1 + similarity) * (more + less) - 1e-6) - F.ceil(similarity * more + 1e-6) + 1
+    pairs = settle(spark, pairs.where(F.col("both") >= need).select(F.col("id1").alias("a"), F.col("id2").alias("b")), "pairs")
+    crossing = crossing.where(F.col("rows") > PAIRED).select("token", "id", "root")
+    ids = crossing.select("id").union(pairs.select("a")).union(pairs.select("b"))
+    sets = settle(spark, sets_of(ids.distinct()), "crossing-sets")
+    checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    checked = checked.where(_jaccard("x", "y") >= similarity).select("a", "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -516,7 +532,7 @@ def missing_links(spark: SparkSession, texts: DataFrame, known: DataFrame, sets_
         give_back()
 
     rows = crossing.join(sets, "id").select("token", "id", "root", "set").repartition("token").sortWithinPartitions("token")
-    return rows.mapInArrow(work, "a long, b long").distinct()
+    return rows.mapInArrow(work, "a long, b long").unionByName(checked).distinct()
 
 
 def representatives(spark: SparkSession, docs: DataFrame, scheme: Scheme = STAGE, similarity: float = SIMILARITY) -> DataFrame:

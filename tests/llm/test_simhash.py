@@ -125,3 +125,13 @@ def test_dense_families_equal_brute_force(spark, make, rng):
         texts += [edited(rng, base, rng.randint(low, high)) for _ in range(100)]
     kept = S.representatives(spark, make([(i, t, "s") for i, t in enumerate(texts)])).collect()
     assert sorted(r.doc_id for r in kept) == brute_kept(texts)
+
+
+def test_short_texts_at_the_limit_are_all_found(spark, make, rng, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE", 1)
+    monkeypatch.setattr(S, "SEEN", 2)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [sentence(rng, 8, vocabulary) for _ in range(60)]
+    texts += [f"{t} more" for t in texts]  # 4 of 5 shingles shared
+    kept = S.representatives(spark, make([(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert sorted(r.doc_id for r in kept) == brute_kept(texts) == list(range(60))
