@@ -36,6 +36,9 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 REACH, SHARE = 1, 0.36
 #: Tags by which a page names its article: evidence for the paths in them, weighed by their share of the text.
 ARTICLE = {"article", "main"}
+#: Tags whose text belongs to the element around them: lists, tables and quotes, and paragraphs beside them.
+PART = set("p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split())
+LISTED = re.compile(r"/(?:li|dt|dd|caption|td|th|blockquote|pre|figcaption)(?:/p)?$")
 
 
 @dataclass
@@ -44,6 +47,8 @@ class Element:
     outside: int
     article: int
     path: str
+    home: int = 0
+    named: tuple[int, ...] = ()
 
 
 @dataclass
@@ -51,6 +56,8 @@ class Block:
     path: str
     outside: int
     article: int
+    home: int
+    named: tuple[int, ...]
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -76,11 +83,13 @@ def blocks(page: str) -> list[Block]:
     Tolerant: paragraphs, list items and table cells end where the next begins,
     inline tags belong to no path, ends without a start count for nothing, and
     what is open at the end is closed there. article is the number of the
-    outermost article or main element around a block, 0 without one.
+    outermost article or main element around a block, 0 without one; home that of
+    the nearest element that is no part of a list, table or quote; named those
+    of the elements around it whose names mark what is around an article.
     """
     out: list[Block] = []
     stack = [Element("", 0, 0, "")]
-    links, at, new, articles = 0, 0, True, 0
+    links, at, new, count = 0, 0, True, 0
 
     def text(raw: str) -> None:
         nonlocal new
@@ -88,7 +97,7 @@ def blocks(page: str) -> list[Block]:
             return
         top = stack[-1]
         if new:
-            out.append(Block(top.path, top.outside, top.article))
+            out.append(Block(top.path, top.outside, top.article, top.home, top.named))
             new = False
         out[-1].parts.append(raw)
         if links:
@@ -143,11 +152,11 @@ def blocks(page: str) -> list[Block]:
         if (m[3] or "").rstrip().endswith("/") and tag in ("svg", "math"):
             continue
         top = stack[-1]
-        article = top.article
-        if not article and tag in ARTICLE:
-            articles += 1
-            article = articles
-        stack.append(Element(tag, max(top.outside, _outside(tag, m[3] or "")), article, f"{top.path}/{tag}"))
+        count += 1
+        mark = _outside(tag, m[3] or "")
+        article = top.article or (count if tag in ARTICLE else 0)
+        home = top.home if tag in PART else count
+        stack.append(Element(tag, max(top.outside, mark), article, f"{top.path}/{tag}", home, (*top.named, count) if mark == 1 else top.named))
     return out
 
 
@@ -185,11 +194,30 @@ def path_scores(found: list[Block], texts: list[str]) -> dict[str, float]:
     return {p: s * (1 + gain if p in named else 1) for p, s in zip(paths, fused)}
 
 
+def _wrappers(pairs: list[tuple[Block, str]]) -> set[int]:
+    """The named elements with over half of the text outside links: their names do not count.
+
+    A single block is no wrapper where the page has an article elsewhere.
+    """
+    sums: dict[int, list[int]] = {}
+    total = 0
+    for b, t in pairs:
+        total += _own(b, t)
+        for k in b.named:
+            both = sums.setdefault(k, [0, 0])
+            both[0] += _own(b, t)
+            both[1] += 1
+    article = any(b.article and not b.named for b, _ in pairs)
+    return {k for k, (size, n) in sums.items() if 2 * size > total and (n > 1 or not article)}
+
+
 def extract(page: str, share: float = SHARE) -> str:
     """The main text of a page: content blocks in page order, two line ends between them."""
     found = blocks(page)
     texts = [" ".join(html.unescape("".join(b.parts)).split()) for b in found]
-    pairs = [(b, t) for b, t in zip(found, texts) if t and not b.outside]
+    pairs = [(b, t) for b, t in zip(found, texts) if t and b.outside < 2]
+    wrappers = _wrappers(pairs)
+    pairs = [(b, t) for b, t in pairs if wrappers.issuperset(b.named)]
     if not pairs:  # a wrapper of the whole page bears such a name
         pairs = [(b, t) for b, t in zip(found, texts) if t and b.outside < 2]
     if not pairs:
@@ -209,10 +237,13 @@ def extract(page: str, share: float = SHARE) -> str:
             size[b.article] = size.get(b.article, 0) + len(t)
     most = max(size, key=size.get)
     whole = most if 2 * size[most] > sum(size.values()) else 0
+    # Lists, tables and quotes beside content are content, unless they are mostly links.
+    homes = {b.home for b, _ in pairs if b.path in keep}
+    beside = {i for i, (b, t) in enumerate(pairs) if b.home in homes and LISTED.search(b.path) and 2 * b.linked <= len(t) and 2 * linked[b.path][0] <= linked[b.path][1]}
     # Headings go with the content that follows them: they are short and end without a mark.
     first = next((i for i, (b, _) in enumerate(pairs) if b.path in keep), 0)
     heads = re.compile(r"/h[1-6]$")
-    return "\n\n".join(t for i, (b, t) in enumerate(pairs) if b.path in keep or whole and b.article == whole or heads.search(b.path) and (i + 1 >= first))
+    return "\n\n".join(t for i, (b, t) in enumerate(pairs) if b.path in keep or i in beside or whole and b.article == whole or heads.search(b.path) and (i + 1 >= first))
 
 
 def extract_pages(pages: DataFrame, share: float = SHARE) -> DataFrame:

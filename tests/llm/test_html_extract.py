@@ -55,3 +55,15 @@ def test_teaser_article_does_not_hide_the_body():
 def test_short_parts_of_the_article_stay():
     page = f"<body><div>By us</div><article><h1>Head</h1><p>{PROSE * 4}</p><div>Lead</div><p>{PROSE * 4}</p><h2>List</h2><ul><li>one</li><li>two</li></ul></article></body>"
     assert H.extract(page).endswith("List\n\none\n\ntwo") and "Lead" in H.extract(page)
+
+
+def test_names_do_not_exclude_what_holds_most_text():
+    for name in ("layout no-sidebar", "has-sidebar", "legal", "search-page"):
+        page = f'<body><div class="{name}"><article><p>{PROSE * 3}</p><p>{PROSE}</p></article><div class="comments"><p>Nice, thanks.</p></div></div><p>Elsewhere, a note.</p></body>'
+        out = H.extract(page)
+        assert (PROSE * 3).strip() in out and "Nice" not in out
+
+
+def test_lists_and_tables_beside_content_stay():
+    page = f"<body><div><h1>{'Head ' * 8}</h1><p>{PROSE * 6}</p><h2>Steps to do</h2><ul><li>Take one.</li><li>two</li></ul><table><tr><td>cell</td></tr></table><ul><li><a href=/>More</a></li></ul></div><div><ul><li>far</li></ul></div></body>"
+    assert H.extract(page).endswith("Steps to do\n\nTake one.\n\ntwo\n\ncell")
