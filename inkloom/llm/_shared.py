@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkloom.operators.stage import settle, shared_dir, shared_path  # noqa: F401
+
 #: Bytes to blanks except digits, letters (lower-cased) and everything from 0x80.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -51,27 +51,16 @@ def give_back() -> None:
         trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/inkloom/{tag}-{uuid.uuid4().hex}"
-
-
-def settle(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here."""
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with marks after those that columns has already (in any case)."""
+    held = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
