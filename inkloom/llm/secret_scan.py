@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,61 +19,93 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "entropy")
 
 #: Characters of a candidate, its least length, and the window that slides over it.
-CANDIDATE, WINDOW = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20
-#: Bits a character from which a window is suspect, by class of the candidate's characters.
-BITS = {"digit": 3.2, "hex": 3.1, "alpha": 4.0, "alnum": 3.7, "base64": 3.9}
-#: Candidates with such a part are known to be harmless: identifiers, placeholders, alphabets, words of one case and paths of them.
+CANDIDATE, WINDOW = re.compile(r"[A-Za-z0-9+/_-]{20,}"), 20
+#: Kinds of characters, and the classes that a window's kinds make; the first that fits counts.
+DIGIT, LOW_HEX, UP_HEX, LOW, UP, SYMBOL = range(6)
+CLASSES = {
+    "digit": {DIGIT},
+    "hex": {DIGIT, LOW_HEX},
+    "upper hex": {DIGIT, UP_HEX},
+    "alpha": {LOW_HEX, UP_HEX, LOW, UP},
+    "alnum": {DIGIT, LOW_HEX, UP_HEX, LOW, UP},
+    "base64": {DIGIT, LOW_HEX, UP_HEX, LOW, UP, SYMBOL},
+}
+#: Bits a character from which a window is suspect: what 98 of 100 random windows of the class reach.
+BITS = {"digit": 2.56, "hex": 2.94, "upper hex": 2.94, "alpha": 3.62, "alnum": 3.68, "base64": 3.72}
+#: Candidates and spans that are such a thing as a whole are known to be harmless: identifiers, fillers, runs of the
+#: alphabet, words of one case and short numbers with marks between them, and groups of digits.
 ALLOW = re.compile(
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|EXAMPLE|example|placeholder|changeme|your[-_]|xxxx|XXXX|0123456789|1234567890|abcdefghij|ABCDEFGHIJ"
-    r"|^(?:[A-Z]?[a-z]{3,}+|[A-Z]{3,}+|[-_/=+]++)++$|^[0-9]+(?:[-_/][0-9]+)+$"
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+    r"|(?:(?i:example|placeholder|changeme|your|secret|token|password|key|here|sample|dummy|test|x+)|[-_/+])+"
+    r"|(?:0123456789|1234567890|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ|abcdefghij|ABCDEFGHIJ|abcdef|ABCDEF|[-_/+])+"
+    r"|[-_/+]*(?:(?:[A-Z]?[a-z]{2,}+)+|[A-Z]{2,}+|[0-9]{1,4}+)(?:[-_/+]+(?:(?:[A-Z]?[a-z]{2,}+)+|[A-Z]{2,}+|[0-9]{1,4}+))*+[-_/+]*"
+    r"|[0-9]+(?:[-_/][0-9]+)+"
 )
 _LOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+_KIND = {c: DIGIT if c.isdigit() else SYMBOL if not c.isalpha() else (LOW_HEX if c in "abcdef" else UP_HEX if c in "ABCDEF" else LOW if c.islower() else UP) for c in string.ascii_letters + string.digits + "+/_-"}
 
 
-def character_class(text: str) -> str:
-    if text.isdigit():
-        return "digit"
-    if all(c in "0123456789abcdef" for c in text) or all(c in "0123456789ABCDEF" for c in text):
-        return "hex"
-    return "alpha" if text.isalpha() else "alnum" if text.isalnum() else "base64"
+def _limits(bits: dict[str, float]) -> list[float]:
+    """For each set of kinds, as bits of a number: the most that sum c log c may be in a suspect window, else -1.
+
+    A window of letters or with symbols needs both cases: text and paths of one
+    case are no secrets.
+    """
+    out = []
+    for mask in range(64):
+        kinds = {k for k in range(6) if mask >> k & 1}
+        name = next((n for n, all_ in CLASSES.items() if kinds <= all_), None) if kinds else None
+        both = kinds & {LOW_HEX, LOW} and kinds & {UP_HEX, UP}
+        if name is None or name in ("alpha", "base64") and not both:
+            out.append(-1.0)
+        else:
+            out.append(WINDOW * (math.log2(WINDOW) - bits[name]) + 1e-9)
+    return out
 
 
 def entropy_spans(text: str, allow: re.Pattern[str] = ALLOW, bits: dict[str, float] = BITS) -> list[tuple[int, int]]:
     """Unions of windows of high entropy in the candidates of text.
 
-    The counts of a window follow from those of the one before by one character
-    in and one out; its entropy is log n - (1/n) sum c log c, of which only the
-    two changed terms are computed.
+    The counts of a window's characters and kinds follow from those of the one
+    before by one character in and one out; its entropy is log n - (1/n) sum
+    c log c, of which only the two changed terms are computed. Each window is
+    judged by the class of its own characters, so what is glued to a key does
+    not hide it. What allow matches as a whole, candidate or span, is left out.
     """
-    spans = []
+    spans, limits = [], _limits(bits)
     for m in CANDIDATE.finditer(text):
         word = m[0]
-        if allow.search(word):
+        if allow.fullmatch(word):
             continue
-        # sum of c log c in a window is at most this where the entropy reaches the limit
-        most = WINDOW * (math.log2(WINDOW) - bits[character_class(word)]) + 1e-9
         counts: dict[str, int] = {}
+        kinds, mask = [0] * 6, 0
         total = 0.0
         first = last = -1
+        found = []
         for i, c in enumerate(word):
             n = counts.get(c, 0)
             counts[c] = n + 1
             total += _LOG[n + 1] - _LOG[n]
+            kinds[_KIND[c]] += 1
+            mask |= 1 << _KIND[c]
             if i >= WINDOW - 1:
-                if total <= most:
+                if total <= limits[mask]:
+                    if first >= 0 and i - WINDOW + 1 > last:
+                        found.append((first, last))
+                        first = -1
                     if first < 0:
                         first = i - WINDOW + 1
-                    elif i - WINDOW + 1 > last:
-                        spans.append((m.start() + first, m.start() + last))
-                        first = i - WINDOW + 1
                     last = i + 1
                 out = word[i - WINDOW + 1]
                 n = counts[out]
                 counts[out] = n - 1
                 total += _LOG[n - 1] - _LOG[n]
+                kinds[_KIND[out]] -= 1
+                if not kinds[_KIND[out]]:
+                    mask ^= 1 << _KIND[out]
         if first >= 0:
-            spans.append((m.start() + first, m.start() + last))
+            found.append((first, last))
+        spans += [(m.start() + a, m.start() + b) for a, b in found if not allow.fullmatch(word, a, b)]
     return spans
 
 
@@ -100,8 +133,9 @@ def scan(docs: DataFrame, allow: str = ALLOW.pattern) -> DataFrame:
 
     Spans count code points, end exclusive. Null and empty texts have none, and
     the digest of the empty string; repeated rows each get a row; an empty table
-    gives none. Only doc_id and text are read. A candidate in which `allow` is
-    found has no entropy span, whatever its entropy; base spans always stay.
+    gives none. Only doc_id and text are read. A candidate or span that `allow`
+    matches as a whole is no entropy span, whatever its entropy; base spans
+    always stay.
     """
     allowed = re.compile(allow)
 

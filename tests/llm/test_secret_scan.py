@@ -1,27 +1,46 @@
 import hashlib
 import math
 import re
+import string
 from collections import Counter
 
 from inkloom.llm import secret_scan as S
 
 
+def limit(window):
+    """The bits that a window needs, by what its characters are; none for one case of letters or of text with symbols."""
+    letters = {c for c in window if c.isalpha()}
+    both = any(c.islower() for c in letters) and any(c.isupper() for c in letters)
+    if any(not c.isalnum() for c in window):
+        return S.BITS["base64"] if both else math.inf
+    if not letters:
+        return S.BITS["digit"]
+    if letters <= set("abcdef"):
+        return S.BITS["hex"]
+    if letters <= set("ABCDEF"):
+        return S.BITS["upper hex"]
+    if any(c.isdigit() for c in window):
+        return S.BITS["alnum"]
+    return S.BITS["alpha"] if both else math.inf
+
+
 def brute_entropy(text):
     spans = []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-        if S.ALLOW.search(m[0]):
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+        if S.ALLOW.fullmatch(m[0]):
             continue
-        limit, inside = S.BITS[S.character_class(m[0])], set()
+        inside, found = set(), []
         for i in range(len(m[0]) - 19):
-            c = Counter(m[0][i : i + 20])
-            if -sum(n / 20 * math.log2(n / 20) for n in c.values()) >= limit - 1e-9:
+            w = m[0][i : i + 20]
+            if -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()) >= limit(w) - 1e-9:
                 inside |= set(range(i, i + 20))
         at = sorted(inside)
         for k, x in enumerate(at):
             if k == 0 or at[k - 1] != x - 1:
-                spans.append([m.start() + x, 0])
-            spans[-1][1] = m.start() + x + 1
-    return [tuple(s) for s in spans]
+                found.append([x, 0])
+            found[-1][1] = x + 1
+        spans += [(m.start() + x, m.start() + y) for x, y in found if not S.ALLOW.fullmatch(m[0][x:y])]
+    return spans
 
 
 HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
@@ -59,5 +78,40 @@ def test_incremental_entropy_equals_brute_force(rng):
 def test_allow_list_is_a_parameter(spark, make):
     docs = make([(1, f"x {HEX} y", "s"), (1, f"x {HEX} y", "s")])
     assert all("entropy" in r.spans for r in S.scan(docs).collect())
-    out = S.scan(docs, allow="^04dbeb").collect()
+    out = S.scan(docs, allow="04dbeb[0-9a-f]+").collect()
     assert len(out) == 2 and all("entropy" not in r.spans and r.n_hex == 1 for r in out)
+
+
+def test_what_is_glued_to_a_key_does_not_hide_it():
+    keys = {
+        "session-id=9f86d081884c7d659a2f": "9f86d081884c7d659a2f",
+        "x_key_9f86d081884c7d659a2feaa0": "9f86d081884c7d659a2feaa0",
+        "/a/b/3a7bd3e2360a3d29eea436": "3a7bd3e2360a3d29eea436",
+        "id=48201937562840193756": "48201937562840193756",
+        "exampleZx9vB2nM4kL8pQ1wE7rT5y": "Zx9vB2nM4kL8pQ1wE7rT5y",
+        "example/Zx9vB2nM4kL8pQ1wE7rT5y": "Zx9vB2nM4kL8pQ1wE7rT5y",
+    }
+    for text, key in keys.items():
+        spans = S.entropy_spans(f"see {text} there")
+        at = text.index(key) + 4
+        assert spans and spans[0][0] <= at and spans[0][1] >= at + len(key), text
+
+
+def test_random_keys_are_found_and_harmless_words_are_not(rng):
+    for chars in ("0123456789", "0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"):
+        texts = ["".join(rng.choice(chars) for _ in range(20)) for _ in range(500)]
+        assert sum(bool(S.entropy_spans(f"a {t} b")) for t in texts) >= 465
+        assert sum(bool(S.entropy_spans(f"SIG={t}{t[::-1]}")) for t in texts) >= 490
+    for text in ("550e8400-e29b-41d4-a716-446655440000", "/usr/share/doc/python-3.11/html/index", "2024-01-02-2024-01-03-11111", "0123456789abcdef0123456789abcdef", "your-api-key-here-xxxxxxxxxx", "internationalizationworks", "SentenceWithManyCapitalWords"):
+        assert not S.entropy_spans(text), text
+
+
+def test_entropy_finds_what_patterns_miss(spark, make):
+    text = f"see {HEX.upper()} and Zx9vB2nM4kL8pQ1wE7rT5y here"
+    r = S.scan(make([(1, text, "s")])).first()
+    assert (r.n_assign, r.n_access, r.n_hex) == (0, 0, 0) and r.spans.count("entropy") == 2
+
+
+def test_very_long_text_and_candidate(spark, make):
+    r = S.scan(make([(1, "word " * 300_000 + "Ab3" * 100_000, "s")])).first()
+    assert r.n_hex == 0
