@@ -83,7 +83,7 @@ _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 ORACLE: dict[str, str] = {
     "op3_decontaminate": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-        i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         win AS (
             SELECT DISTINCT item_id, 10 AS k, array_to_string(w[p : p + 9], ' ') AS s
             FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS p FROM i WHERE len(w) >= 10)
@@ -94,7 +94,7 @@ ORACLE: dict[str, str] = {
         cut AS (SELECT r, k, p, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes)),
         hits AS (SELECT r, k, p, item_id FROM cut JOIN win USING (k, s)),
         words AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hits) GROUP BY r),
-        names AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY r)
+        names AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(names.n, 0) AS n_items,
                sha256(coalesce(names.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (r) LEFT JOIN names USING (r)""",

@@ -13,13 +13,13 @@ def brute(text, items, window=10):
     w, hit, found = words(text), set(), set()
     for name, item in items:
         v = words(item)
-        if not v or name is None:
+        if not v:
             continue
         k = min(window, len(v))
         grams = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)}
         for i in range(len(w) - k + 1):
             if tuple(w[i : i + k]) in grams:
-                found.add(str(name))
+                found |= {str(name)} if name is not None else set()
                 hit.update(range(i, i + k))
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
@@ -50,6 +50,15 @@ def test_blocks_give_the_same(spark, make, rng, monkeypatch):
     one = D.scan(spark, docs, table).orderBy("doc_id").collect()
     monkeypatch.setattr(D, "BLOCK_WORDS", 50)
     assert D.scan(spark, docs, table).orderBy("doc_id").collect() == one
+    a = sorted(map(tuple, D.decontaminate(spark, docs, table, coverage=0.5).collect()))
+    monkeypatch.setattr(D, "BLOCK_WORDS", 200_000)
+    assert sorted(map(tuple, D.decontaminate(spark, docs, table, coverage=0.5).collect())) == a
+
+
+def test_a_text_is_scanned_once(spark, make):
+    table = spark.createDataFrame([(1, "q w e")], "item_id long, text string")
+    plan = D.decontaminate(spark, make([(1, "a b", "s")]), table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
 
 
 def test_removal(spark, make, rng):
