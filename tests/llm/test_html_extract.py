@@ -1,5 +1,13 @@
+import os
+import time
+
+import pyarrow.parquet as pq
+import pytest
+
 from inkloom.llm import html_extract as H
 
+DATA = "/root/testdata/sf0.01"
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page">
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- note <p>no</p> --><div class="ad">Buy now, friends.</div>
 <article><h1>The &amp; head</h1><p><b>First para.<br><p>Second   one,\n with &quot;quotes&quot; and &eacute;.</p><p>The.</p>
@@ -43,7 +51,8 @@ def test_pages_with_article_are_judged_by_tag_paths(monkeypatch):
     scores = H.path_scores
     monkeypatch.setattr(H, "path_scores", lambda found, texts: seen.append(scores(found, texts)) or seen[-1])
     assert "First para." in H.extract(PAGE)
-    assert len(seen) == 1 and any(p.endswith("/article/p") for p in seen[0])
+    paths = H.blocks(PAGE)[1]
+    assert len(seen) == 1 and any(paths.text(p).endswith("/article/p") for p in seen[0])
 
 
 def test_teaser_article_does_not_hide_the_body():
@@ -67,3 +76,37 @@ def test_names_do_not_exclude_what_holds_most_text():
 def test_lists_and_tables_beside_content_stay():
     page = f"<body><div><h1>{'Head ' * 8}</h1><p>{PROSE * 6}</p><h2>Steps to do</h2><ul><li>Take one.</li><li>two</li></ul><table><tr><td>cell</td></tr></table><ul><li><a href=/>More</a></li></ul></div><div><ul><li>far</li></ul></div></body>"
     assert H.extract(page).endswith("Steps to do\n\nTake one.\n\ntwo\n\ncell")
+
+
+def test_quoted_values_are_no_attributes():
+    page = f'<body><div title="see class=menu now"><p>{PROSE * 3}</p></div><p>{PROSE}</p></body>'
+    assert H.extract(page) == f"{PROSE * 3}".strip() + "\n\n" + PROSE.strip()
+
+
+def test_comments_in_other_languages_go():
+    for name in ("kommentare", "commentaires", "comentarios"):
+        page = f'<body><main><p>{PROSE * 3}</p><section id="{name}"><p>{PROSE}</p></section></main></body>'
+        assert H.extract(page) == (PROSE * 3).strip()
+
+
+def test_hostile_markup_takes_time_in_proportion():
+    def seconds(n):
+        pages = ["</p>" * n + "<div>" * n + "</p>" * n, "<div class=menu>" * n + "x", '<a title="' * n, "<li>" * n + "<td>" * n, "<!--" * n]
+        began = time.perf_counter()
+        for page in pages:
+            H.extract(page)
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(40_000) < 16 * seconds(5_000) + 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_ratios_decide_every_page_of_the_tables(monkeypatch):
+    seen = []
+    scores = H.path_scores
+    monkeypatch.setattr(H, "path_scores", lambda *a: seen.append(1) or scores(*a))
+    pages = pq.read_table(f"{DATA}/pages.parquet").column("html").to_pylist()
+    for page in pages:
+        assert H.extract(page)
+    assert len(seen) == len(pages)
