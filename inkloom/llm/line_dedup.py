@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkloom.llm._shared import settle
+from inkloom.llm._shared import free, settle
 
 #: Sites from which a line is boilerplate; sketches of 2^LG_K registers are trusted MARGIN away from it.
-SITES, LG_K, MARGIN = 10, 12, 0.2
+SITES, LG_K, MARGIN = 5, 12, 0.2
 
 
 def _digest(line: Column) -> Column:
@@ -41,6 +44,29 @@ def spread(spark: SparkSession, docs: DataFrame, site: str = "source", sites: in
     return sure.unionByName(exact.select("line", "n_sites", F.lit(True).alias("exact"), "keeper"))
 
 
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())]))
+def _without(text, every, own):
+    """Texts without the lines of the digests in every, but for the first of each in own; null texts stay null."""
+    import pandas as pd
+
+    out = []
+    for t, gone, kept in zip(text, every, own):
+        if t is None:
+            out.append((None, 0))
+            continue
+        gone, kept = set(gone), set(kept)
+        lines, left = t.split("\n"), []
+        for line in lines:
+            digest = hashlib.md5(line.strip(" ").encode()).digest()
+            if digest in kept:
+                kept.discard(digest)
+            elif digest in gone:
+                continue
+            left.append(line)
+        out.append(("\n".join(left), len(lines) - len(left)))
+    return pd.DataFrame(out, columns=["text", "n_removed"])
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """docs with boilerplate lines removed, plus n_lines and n_removed.
 
@@ -48,28 +74,26 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, site: str = "source", site
     where its first occurrence stays, so nothing is lost altogether. Null texts
     stay null with no lines; texts of boilerplate alone become empty; rows with
     equal doc_id are treated alike; rows without doc_id never keep a line that a
-    doc_id has. n_chars, if there is one, follows the text. All rows stay.
+    doc_id has. n_chars, if there is one, follows the text. All rows stay. Other
+    columns may have any names; n_lines and n_removed are replaced.
     """
     wide = settle(spark, spread(spark, docs, site, sites).select("line", "keeper"), "spread")
+    key, every, own, done = free(docs.columns, "hit_id", "hit_lines", "hit_own", "hit_done")
     # Which documents are hit: a row for each of them and each of their boilerplate lines.
-    pairs = docs.select(F.col("doc_id").cast("long").alias("__id"), F.explode(_lines(F.col("text"))).alias("__line"))
-    pairs = pairs.where(F.trim("__line") != "").select("__id", _digest(F.trim("__line")).alias("line")).join(wide, "line")
-    gone = pairs.groupBy("__id").agg(F.collect_set("line").alias("__all"), F.collect_set(F.when(F.col("keeper").eqNullSafe(F.col("__id")), F.col("line"))).alias("__own"))
+    pairs = docs.select(F.col("doc_id").cast("long").alias(key), F.explode(_lines(F.col("text"))).alias("each"))
+    pairs = pairs.where(F.trim("each") != "").select(key, _digest(F.trim("each")).alias("line")).join(wide, "line")
+    gone = pairs.groupBy(key).agg(F.collect_set("line").alias(every), F.collect_set(F.when(F.col("keeper").eqNullSafe(F.col(key)), F.col("line"))).alias(own))
     gone = settle(spark, gone, "gone")
     # Always merged: which documents are hit grows with the input, so no size of it is safe to broadcast.
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    lines, every, own = _lines(F.col("text")), F.col("__all"), F.col("__own")
-    digests = F.transform(lines, lambda x: _digest(F.trim(x)))
-    kept = F.filter(
-        F.arrays_zip(lines.alias("line"), digests.alias("digest"), F.sequence(F.lit(1), F.size(lines)).alias("at")),
-        lambda x: ~F.array_contains(every, x["digest"]) | (F.array_contains(own, x["digest"]) & (F.array_position(digests, x["digest"]) == x["at"])),
-    )
-    left = F.when(F.col("__id").isNull() & F.col("__all").isNull(), lines).otherwise(F.transform(kept, lambda x: x["line"]))
-    joined = joined.withColumn("__left", left)
-    text = F.when(F.col("__all").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    hit = F.col(every).isNotNull()
+    # Only texts that are hit travel to the workers.
+    joined = joined.withColumn(done, _without(F.when(hit, F.col("text")), every, own))
+    text = F.when(hit, F.col(done)["text"]).otherwise(F.col("text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     changes = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("__all").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars")
+        changes["n_chars"] = F.when(hit, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*[changes.get(c, F.col(f"`{c}`")) for c in names], n_lines.cast("long").alias("n_lines"), F.when(F.col("__all").isNull(), 0).otherwise(n_lines - F.size("__left")).cast("long").alias("n_removed"))
+    removed = F.when(hit, F.col(done)["n_removed"]).otherwise(F.lit(0))
+    return joined.select(*[changes.get(c, F.col(f"`{c}`")) for c in names], n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from inkloom.llm import line_dedup as L
 
 
@@ -40,11 +42,27 @@ def test_equals_brute_force(spark, make, rng):
 
 def test_near_threshold_is_exact(spark, make):
     rows = [(i, "common", f"s{i}") for i in range(9)] + [(100 + i, "wider", f"s{i}") for i in range(10)]
-    found = L.spread(spark, make(rows)).collect()
+    found = L.spread(spark, make(rows), sites=10).collect()
     assert [(r.n_sites, r.exact, r.keeper) for r in found] == [(10, True, 100)]
     rows = [(i, "everywhere", f"s{i}") for i in range(60)]
     assert [(r.exact, r.keeper) for r in L.spread(spark, make(rows)).collect()] == [(False, 0)]
 
 
+def test_passages_of_a_hot_source_go(spark, make, rng):
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(i, f"own line {i}\n{passage}", "hot" if i % 3 == 0 else f"s{i % 20}") for i in range(20)]
+    left = {r.doc_id: r.text for r in L.dedup_lines(spark, make(rows)).collect()}
+    assert sum(passage in t for t in left.values()) == 1 and all(t.startswith(f"own line {i}") for i, t in left.items())
+
+
+def test_clashing_names_and_a_long_text(spark, make):
+    lines = [f"shared {k}" for k in range(3000)]
+    rows = [(i, "\n".join(lines + [f"own {i}"]), f"s{i}") for i in range(8)]
+    docs = make(rows).withColumn("__id", F.lit(7)).withColumn("hit_id", F.lit("a")).withColumn("hit_lines", F.lit("b")).withColumn("__left", F.lit("c"))
+    out = L.dedup_lines(spark, docs).collect()
+    assert {(r["__id"], r.hit_id, r.hit_lines, r["__left"]) for r in out} == {(7, "a", "b", "c")}
+    assert {r.doc_id: r.text for r in out} == {0: rows[0][1], **{i: f"own {i}" for i in range(1, 8)}}
+
+
 def test_empty(spark, make):
     assert L.dedup_lines(spark, make([])).count() == 0
