@@ -12,6 +12,7 @@ from inkloom.functions import layout
 from inkloom.functions import terms as T
 from inkloom.operators import guard, infer, memo, report, samples, segments
 from inkloom.operators.backend import Faulty, TermTable
+from inkloom.operators.stage import shared_path
 from inkloom.plans.document import translate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,21 +101,47 @@ def dedup_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.agg(F.sum("k_n").alias("n"), F.count("*").alias("n_distinct"), (F.sum("k_n") - F.count("*")).alias("saved"))
 
 
-@query(f"""WITH k AS (SELECT doc_id, {_KEY} AS key FROM documents), warm AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0)
-SELECT count(*) AS lookups, count(warm.key) AS hits, count(*) - count(warm.key) AS misses, count(warm.key)::DOUBLE / count(*) AS hit_rate FROM k LEFT JOIN warm USING (key)""")
+def _warm(spark: SparkSession, sf_dir: str) -> tuple[memo.Memo, DataFrame]:
+    """A cache that holds the documents with even ids, and all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = memo.Memo(spark, shared_path(spark, "memo"), "none", 1)
+    outcome = F.struct(F.col("text"), F.lit(True).alias("translated"), F.lit(None).cast("string").alias("reason"))
+    held.put(docs.where("doc_id % 2 = 0").select(held.key(F.col("text")).alias("key"), outcome.alias("outcome")))
+    return held, docs
+
+
+@query(f"""WITH k AS (SELECT doc_id, text, {_KEY} AS key FROM documents), warm AS (SELECT key, min(strlen(text)) AS size FROM k WHERE doc_id % 2 = 0 GROUP BY key)
+SELECT (SELECT count(*) FROM warm) AS entries, (SELECT sum(size)::BIGINT FROM warm) AS bytes, count(warm.key) AS hits, count(*) - count(warm.key) AS misses, count(warm.key)::DOUBLE / count(*) AS hit_rate FROM k LEFT JOIN warm USING (key)""")
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CCH2: all documents looked up in a cache of those with even ids."""
-    keys = _keyed(spark, sf_dir).select("doc_id", "key")
-    warm = keys.where("doc_id % 2 = 0").groupBy("key").agg(F.lit(1).alias("stored"))
-    out = keys.join(warm, "key", "left").agg(F.count("*").alias("lookups"), F.count("stored").alias("hits"))
-    return out.select("lookups", "hits", (F.col("lookups") - F.col("hits")).alias("misses"), (F.col("hits") / F.col("lookups")).alias("hit_rate"))
+    """CCH2, CCH7, AGG22: all documents looked up in a cache of those with even ids."""
+    held, docs = _warm(spark, sf_dir)
+    return held.stats(docs)
 
 
 @query(f"SELECT doc_id, {_KEY} AS key FROM documents WHERE {_KEY} NOT IN (SELECT {_KEY} FROM documents WHERE doc_id % 2 = 0)")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CCH3: documents that no even id has stored."""
-    keys = _keyed(spark, sf_dir).select("doc_id", "key")
-    return keys.join(keys.where("doc_id % 2 = 0").select("key").distinct(), "key", "left_anti").select("doc_id", "key")
+    held, docs = _warm(spark, sf_dir)
+    return held.misses(docs).select("doc_id", "key")
+
+
+_O, _C = T.OPEN, T.CLOSE
+#: Outputs of a source with two placeholders, by doc_id: as it is, swapped, one lost, one twice, a strange one, one broken.
+_VARIANTS = (f"{_O}0{_C} # {_O}1{_C}", f"{_O}1{_C} # {_O}0{_C}", f"# {_O}1{_C}", f"{_O}0{_C} # {_O}0{_C} {_O}1{_C}", f"{_O}0{_C} # {_O}1{_C} {_O}7{_C}", f"{_O} 0{_C} # {_O}1{_C}")
+_VARIANT = f"replace([{_list(_VARIANTS)}][doc_id % {len(_VARIANTS)} + 1], '#', text)"
+_TIMES = {n: f"(length(output) - length(replace(output, '{_O}{n}{_C}', ''))) / 3" for n in (0, 1, 7)}
+
+
+@query(f"""SELECT doc_id, CASE WHEN contains(output, '{_O} ') THEN 'malformed placeholder' WHEN {_TIMES[7]} > 0 THEN 'unexpected placeholder'
+WHEN {_TIMES[0]} = 0 OR {_TIMES[1]} = 0 THEN 'missing placeholder' WHEN {_TIMES[0]} > 1 OR {_TIMES[1]} > 1 THEN 'duplicate placeholder' ELSE 'none recorded' END AS family
+FROM (SELECT doc_id, {_VARIANT} AS output FROM documents WHERE length(text) > 20)""")
+def placeholder_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL2-VAL4: documents between placeholders, with outputs that keep, swap, lose, repeat, add or break one."""
+    docs = _table(spark, sf_dir, "documents").where("length(text) > 20")
+    source = F.concat(F.lit(f"{_O}0{_C} "), F.col("text"), F.lit(f" {_O}1{_C}"))
+    output = F.replace(F.get(F.array(*map(F.lit, _VARIANTS)), (F.col("doc_id") % len(_VARIANTS)).cast("int")), F.lit("#"), F.col("text"))
+    reason = checks.placeholder_reason(source, output, F.array(F.lit(0), F.lit(1)))
+    return docs.select("doc_id", checks.reason_family(reason).alias("family"))
 
 
 _PAIRS = "SELECT conv_id, turn, text AS output, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations"
@@ -178,11 +205,13 @@ def structure_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH f AS (SELECT CASE WHEN {_PLACEHOLDER_FAMILY} <> 'none recorded' THEN {_PLACEHOLDER_FAMILY} ELSE {_STRUCTURE_FAMILY} END AS family FROM ({_PAIRS}) WHERE source IS NOT NULL)
-SELECT family, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM f) AS share FROM f GROUP BY family""")
+SELECT family, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM f) AS share FROM f WHERE family <> 'none recorded' GROUP BY family""")
 def rejection_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VAL11, AGG2: families of reasons over adjacent turns, with shares."""
+    """VAL11, AGG2: families of the rejected among adjacent turns, with shares of all."""
     reason = checks.reason_of(F.col("source"), F.col("output"), _nothing())
-    return report.with_share(_pairs(spark, sf_dir).groupBy(checks.reason_family(reason).alias("family")).agg(F.count("*").alias("n")))
+    judged = _pairs(spark, sf_dir).withColumn("why", reason)
+    outcome = F.struct(F.col("output").alias("text"), F.col("why").isNull().alias("translated"), F.col("why").alias("reason"))
+    return report.rejections(judged.select(outcome.alias("outcome")))
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest({_list_sql('text')}) AS s FROM documents)
