@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
-from itertools import chain, repeat
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet
 import xxhash
@@ -22,18 +24,17 @@ from inkloom.llm._shared import give_back, settle, shared_path
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: How a text is cut into words, finest first: no piece may reach over a cut.
-CUTS = (
-    rf"{SPACE}*(?:[A-Za-z\xC0-῿⁰-▀▂-\U0010FFFF]+|[0-9]|[^A-Za-z0-9\xC0-῿⁰-\U0010FFFF]+)|{SPACE}+",
-    rf"{SPACE}*[^{SPACE}]+|{SPACE}+",
-    r"(?s).+",
-)
+#: Classes of characters by which a text is cut into words, finest first: no piece may reach over a cut.
+LETTERS, DIGITS = r"A-Za-z\xC0-῿⁰-▀▂-\U0010FFFF", "0-9"
+CUTS = ((LETTERS, DIGITS), (f"{LETTERS}{DIGITS}",), ())
 #: What a character without a piece costs below the least score, as in the library.
 UNKNOWN = 10.0
-#: Characters of a stretch of a long word, and words that workers hold; further words are joined.
+#: Stops of a stretch of a long word, and words that workers hold; further words are joined.
 BLOCK, HEAD = 32, 4_000_000
-#: Distinct words that a task gathers before it passes them on, and rows that workers take at a time.
-GATHER, ROWS = 80_000, 200
+#: Characters up to which a word is its own key, edges up to which its paths are arrays, and words of a task of the lattice.
+LONG, LONG_EDGES, TASK_WORDS = 48, 500, 60_000
+#: Distinct words that a task gathers before it passes them on, chunks that it remembers, and rows that it takes at a time.
+GATHER, SEEN, ROWS = 80_000, 250_000, 200
 #: Rows of a batch between Spark and its workers, and files of the table that workers read.
 BATCH, PARTS = 400, 16
 
@@ -49,13 +50,23 @@ class Pieces:
     surface: tuple[bytes, ...]
     prefix: bool
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.names))
 
-    @property
+    @cached_property
     def cut(self) -> str:
-        for pattern in CUTS:
+        """A pattern for words: runs of one class, each with the blanks before it.
+
+        A character that is in no longer piece is a word alone, so texts in
+        scripts of which the model has single characters have short words.
+        """
+        joined = sorted({c for p in self.names if len(p) > 1 for c in p} - {SPACE})
+        for classes in CUTS:
+            rest = re.compile(f"[{''.join(classes)}]" if classes else r"(?!)")
+            groups = [[c for c in joined if re.match(f"[{k}]", c)] for k in classes] + [[c for c in joined if not rest.match(c)]]
+            runs = [f"[{''.join(map(re.escape, g))}]+" for g in groups if g]
+            pattern = rf"(?s:{SPACE}*(?:{'|'.join([*runs, f'[^{SPACE}]'])})|{SPACE}+)"
             whole = re.compile(pattern)
             if all(whole.fullmatch(p) for p in self.names):
                 return pattern
@@ -93,132 +104,205 @@ def decode(ids: list[int], pieces: Pieces) -> str:
     return (raw[1:] if pieces.prefix and raw.startswith(b" ") else raw).decode(errors="replace")
 
 
-def _chunks(texts: pa.Array, pieces: Pieces) -> pa.ListArray:
-    """Each text in parts that no piece reaches over: at single blanks where that can be, else whole and escaped."""
-    texts = pc.fill_null(texts, "")
-    whole = pc.replace_substring(texts, " ", SPACE)
-    if not pieces.prefix:
-        return pc.split_pattern(whole, " ")
-    odd = [pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE), pc.starts_with(texts, " "), pc.ends_with(texts, " ")]
-    either = reduce(pc.or_, odd)
-    return pc.split_pattern(pc.if_else(either, pc.binary_join_element_wise(SPACE, whole, ""), texts), " ")
+class Chunks:
+    """Cuts texts into chunks that no piece reaches over, and chunks into words.
+
+    At single blanks where that can be; chunks are then known without the escape
+    before them. Other texts are cut into words at once.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.find, self.prefix = re.compile(pieces.cut).findall, pieces.prefix
+
+    def odd(self, text: str) -> bool:
+        return not self.prefix or "  " in text or SPACE in text or text[:1] == " " or text[-1:] == " "
+
+    def of(self, text: str) -> tuple[bool, list[str]]:
+        """Whether the chunks are words already, and the chunks."""
+        if not text:
+            return False, []
+        if not self.odd(text):
+            return False, text.split(" ")
+        return True, self.find((SPACE if self.prefix else "") + text.replace(" ", SPACE))
+
+    def words(self, chunks: list[str]) -> list[str]:
+        """The words of chunks between blanks, end to end; the first of each chunk begins with the escape, no other does."""
+        return self.find(SPACE + SPACE.join(chunks)) if chunks else []
+
+
+def word_key(word: str) -> str:
+    """The word itself, or a digest of a long one: nothing that is grouped or joined is long."""
+    return word if len(word) <= LONG else "sha256:" + hashlib.sha256(word.encode()).hexdigest()
 
 
-def _cut_all(chunks: Iterable[str], cut: re.Pattern[str], prefix: bool) -> list[list[str]]:
-    """The words of each chunk; chunks between single blanks get their escape back; an empty one has none."""
-    find = cut.findall
-    return [find(SPACE + c if prefix and c[0] != SPACE else c) if c else [] for c in chunks]
+def _key(word: Column) -> Column:
+    return F.when(F.length(word) <= LONG, word).otherwise(F.concat(F.lit("sha256:"), F.sha2(word.cast("binary"), 256)))
 
 
 def words(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """The distinct words of all texts; n: in how many gatherings of up to GATHER words they are."""
-    cut, prefix = re.compile(pieces.cut), pieces.prefix
+    """The distinct words of all texts with their keys; n: in how many gatherings they are.
+
+    A task remembers the chunks that it has cut, so of frequent ones only the
+    first is.
+    """
+    cut = Chunks(pieces)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: set[str] = set()
+        seen: list[set[str]] = [set(), set()]
         for batch in _small(batches):
-            chunks = _chunks(batch.column(0), pieces).flatten().unique().to_pylist()
-            held.update(chain.from_iterable(_cut_all(chunks, cut, prefix)))
+            new: list[set[str]] = [set(), set()]
+            for text in batch.column(0).to_pylist():
+                whole, chunks = cut.of(text or "")
+                known = seen[whole]
+                new[whole].update([c for c in chunks if c not in known])
+            held.update(new[True], cut.words(list(new[False])))
+            for s, more in zip(seen, new):
+                s.clear() if len(s) > SEEN else None
+                s |= more
             if len(held) > GATHER:
                 yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
                 held = set()
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
-        del held
+        del held, seen
         give_back()
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(work, "word string")
-    return rows.groupBy("word").agg(F.count("*").alias("n"))
+    return rows.groupBy("word").agg(F.count("*").alias("n")).select(_key(F.col("word")).alias("key"), "word", "n")
+
+
+def useful(pieces: Pieces) -> dict[str, tuple[int, float]]:
+    """The pieces, with id and score, that can be on a best path.
+
+    A piece that other pieces spell with a higher score never is: wherever it
+    stands, the others do better. Equals stay, since the widest edge counts.
+    """
+    score = dict(zip(pieces.names, pieces.scores))
+    least = min(pieces.scores) - UNKNOWN
+    out = {}
+    for name, i in zip(pieces.names, pieces.ids):
+        best = [0.0]
+        for stop in range(1, len(name) + 1):
+            ways = [best[at] + score.get(name[at:stop], least if stop - at == 1 else -math.inf) for at in range(stop) if stop - at < len(name)]
+            best.append(max(ways, default=-math.inf))
+        if best[-1] <= score[name] + 1e-6:
+            out[name] = (i, score[name])
+    return out
+
+
+def widths(names: Iterable[str]) -> dict[str, list[int]]:
+    """For each end of three characters that a piece has: the widths that a piece there can have, narrow first."""
+    found: dict[str, set[int]] = {}
+    for name in names:
+        if len(name) >= 3:
+            found.setdefault(name[-3:], {1, 2}).add(len(name))
+    return {end: sorted(n) for end, n in found.items()}
 
 
 def edges(spark: SparkSession, found: DataFrame, pieces: Pieces) -> DataFrame:
-    """The lattice of each word: word, stop, width, id, score of every substring that is a piece,
-    and of every other single character, with the negative of its place for an id.
+    """The lattice of each word: key, code, width, id, score of every substring that is a useful piece,
+    and of every other single character, with the negative of its code point less one for an id.
 
-    Long words are exploded in stretches first, so that a substring is cut from
-    a short string.
+    code is 64 times the stop and the width: by stop, narrow edges first. Long
+    words are taken in stretches, so that a substring is cut from a short
+    string. Substrings are exploded by stop, up to the longest piece, and only
+    in widths that a piece with the same last three characters has.
     """
-    longest = pieces.longest
-    step = BLOCK
-    stretch = found.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(step))).alias("at"))
-    stretch = stretch.select("word", "at", F.substring("word", F.col("at") + 1, F.lit(step + longest - 1)).alias("part"))
-    size = F.length("part")
-    starts = stretch.select("word", "at", "part", F.explode(F.sequence(F.lit(1), F.least(size, F.lit(step)))).alias("i"))
-    subs = starts.select("word", "at", "part", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("i") + 1))).alias("width"))
-    subs = subs.select("word", (F.col("at") + F.col("i") + F.col("width") - 1).alias("stop"), "width", F.substring("part", F.col("i"), F.col("width")).alias("piece"))
-    table = spark.createDataFrame(pa.table({"piece": pa.array(pieces.names, pa.string()), "id": pa.array(pieces.ids, pa.int32()), "score": pa.array(pieces.scores, pa.float64())}))
-    # The vocabulary of a model file: as large for any input.
+    longest, best = pieces.longest, useful(pieces)
+    if longest >= 64:
+        raise ValueError("pieces of 64 characters and more")
+    stretch = found.select("key", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(BLOCK))).alias("at"))
+    stretch = stretch.withColumn("lead", F.least("at", F.lit(longest - 1)))
+    part = F.substring("word", F.col("at") - F.col("lead") + 1, F.col("lead") + BLOCK)
+    stretch = stretch.select("key", (F.col("at") - F.col("lead")).alias("from"), "lead", part.alias("part"))
+    stops = stretch.select("key", "from", "part", F.explode(F.sequence(F.col("lead") + 1, F.length("part"))).alias("p"))
+    stops = stops.withColumn("end", F.substring("part", F.col("p") - 2, F.when(F.col("p") > 2, 3).otherwise(0)))
+    ends = widths(best)
+    # Both tables have the size of a model file's vocabulary, whatever the input.
+    by_end = spark.createDataFrame(pa.table({"end": pa.array(list(ends), pa.string()), "widths": pa.array(list(ends.values()), pa.list_(pa.int32()))}))
+    table = spark.createDataFrame(pa.table({"piece": pa.array(list(best), pa.string()), "id": pa.array([i for i, _ in best.values()], pa.int32()), "score": pa.array([s for _, s in best.values()], pa.float64())}))
+    stops = stops.join(F.broadcast(by_end), "end", "left")
+    subs = stops.select("key", "from", "part", "p", F.explode(F.coalesce("widths", F.array(F.lit(1), F.lit(2)))).alias("width")).where("width <= p")
+    subs = subs.select("key", ((F.col("from") + F.col("p")) * 64 + F.col("width")).alias("code"), "width", F.substring("part", F.col("p") - F.col("width") + 1, F.col("width")).alias("piece"))
     met = subs.join(F.broadcast(table), "piece", "left").where("id is not null or width = 1")
     unknown = F.lit(min(pieces.scores) - UNKNOWN)
-    return met.select("word", "stop", "width", F.coalesce("id", -F.col("stop")).alias("id"), F.coalesce("score", unknown).alias("score"))
+    return met.select("key", "code", "width", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", unknown).alias("score"))
 
 
-def _fold(edges_: Column, longest: int) -> Column:
-    """Viterbi over a word's edges, sorted by stop and from wide to narrow: the ids of its best path.
+def _fold(edges_: Column, longest: int, long: bool) -> Column:
+    """Viterbi over a word's edges, sorted by code: the ids of its best path.
 
-    The state holds the best score and path of the last `longest` stops, and the
-    best edge so far of the stop at hand; of equal scores the widest edge stays.
-    A character without a piece has the negative of its place for an id.
+    The state holds score and path of the stops before, and of the stop at hand
+    by its best edge so far. Each stop has an edge of one character, which comes
+    first: it begins the stop. Of equal scores the widest edge stays. Spark runs
+    this expression by expression, and copies the state in every step, nested
+    arrays included, but not binary values. So each step has as few expressions
+    as can be, and for long words the last `longest` stops alone are kept and a
+    path is binary: a comma and an id for each edge.
     """
 
-    def pushed(state: Column) -> Column:
-        tail = state["tail"]
-        kept = F.when(F.size(tail) >= longest, F.slice(tail, 2, longest)).otherwise(tail)
-        path = F.when(state["at"] == 0, F.array().cast("array<int>")).otherwise(F.concat(F.element_at(tail, -state["width"])["ids"], F.array(state["id"])))
-        return F.concat(kept, F.array(F.struct(state["score"].alias("score"), path.alias("ids"))))
+    def after(path: Column, e: Column) -> Column:
+        return F.concat(path, F.concat(F.lit(","), e["id"].cast("string")).cast("binary") if long else F.array(e["id"]))
 
-    def entry(tail: Column, e: Column, score: Column) -> Column:
-        return F.struct(tail.alias("tail"), e["stop"].alias("at"), score.alias("score"), (-e["back"]).alias("width"), e["id"].alias("id"))
+    def state_of(tail: Column, before: Column, e: Column) -> Column:
+        return F.struct(tail.alias("tail"), (before["score"] + e["score"]).alias("score"), after(before["path"], e).alias("path"))
 
     def step(state: Column, e: Column) -> Column:
-        # The stop at hand is not in the tail yet: an edge of one character starts at the tail's last entry.
-        score = F.element_at(state["tail"], e["back"])["score"] + e["score"]
-        moved = F.get(F.transform(F.array(pushed(state)), lambda t: entry(t, e, F.element_at(t, e["back"])["score"] + e["score"])), F.lit(0))
-        return F.when(e["stop"] != state["at"], moved).when(score > state["score"], entry(state["tail"], e, score)).otherwise(state)
-
-    start = F.struct(F.array().cast("array<struct<score:double,ids:array<int>>>").alias("tail"), F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(0).alias("width"), F.lit(0).alias("id"))
-    return F.aggregate(edges_, start, step, lambda s: F.element_at(pushed(s), -1)["ids"])
-
-
-def _spelt(word: Column, ids: Column, bytes_: tuple[int, ...]) -> Column:
-    """ids with the bytes of the characters that have no piece in their places."""
-
-    def spell(place: Column) -> Column:
-        raw = F.hex(F.encode(F.substring(word, place, F.lit(1)), "UTF-8"))
-        values = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int"))
-        return F.transform(values, lambda v: F.element_at(F.array(*[F.lit(b) for b in bytes_]), v + 1))
-
-    each = F.transform(ids, lambda i: F.when(i >= 0, F.array(i)).otherwise(spell(-i)))
+        tail = state["tail"]
+        kept = F.when(F.size(tail) >= 2 * longest, F.slice(tail, longest + 1, longest)).otherwise(tail) if long else tail
+        pushed = F.concat(kept, F.array(F.struct(state["score"].alias("score"), state["path"].alias("path"))))
+        before = F.element_at(tail, -e["width"])
+        better = F.when(before["score"] + e["score"] >= state["score"], state_of(tail, before, e)).otherwise(state)
+        return F.when(e["width"] == 1, state_of(pushed, state, e)).otherwise(better)
+
+    none = F.lit(b"") if long else F.array().cast("array<int>")
+    kind = f"array<struct<score:double,path:{'binary' if long else 'array<int>'}>>"
+    path = F.aggregate(edges_, F.struct(F.array().cast(kind).alias("tail"), F.lit(0.0).alias("score"), none.alias("path")), step, lambda s: s["path"])
+    return F.split(F.substring(path.cast("string"), 2, 1 << 30), ",").cast("array<int>") if long else path
+
+
+def _spelt(ids: Column, bytes_: tuple[int, ...]) -> Column:
+    """ids with the UTF-8 bytes of the characters that have no piece in their places."""
+    names = F.array(*[F.lit(b) for b in bytes_])
+
+    def spell(c: Column) -> Column:
+        last = lambda shift: F.shiftright(c, shift).bitwiseAND(63) + 128
+        values = (
+            F.when(c < 0x80, F.array(c))
+            .when(c < 0x800, F.array(F.shiftright(c, 6) + 0xC0, last(0)))
+            .when(c < 0x10000, F.array(F.shiftright(c, 12) + 0xE0, last(6), last(0)))
+            .otherwise(F.array(F.shiftright(c, 18) + 0xF0, last(12), last(6), last(0)))
+        )
+        return F.transform(values, lambda v: F.element_at(names, v + 1))
+
+    each = F.transform(ids, lambda i: F.when(i >= 0, F.array(i)).otherwise(spell(-1 - i)))
     return F.when(F.exists(ids, lambda i: i < 0), F.flatten(each)).otherwise(ids)
 
 
-def encode_words(spark: SparkSession, found: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, mark (its hash) and ids of each distinct, non-empty word: its edges grouped and folded in order.
+def encode_words(spark: SparkSession, found: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
+    """key, mark and check (hashes of it) and ids of each distinct, non-empty word: its edges grouped and folded in order.
 
     The grouping keeps the partitioning of the words, so no edge is shuffled. The
     fold takes each edge once, so a long word takes time in proportion.
     """
     # A number keeps Spark from merging small partitions: a word's edges are a hundred times its size.
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lattice = edges(spark, found.select("word").repartition(spread, "word"), pieces)
-    ordered = F.sort_array(F.collect_list(F.struct("stop", (-F.col("width")).alias("back"), "id", "score")))
-    whole = lattice.groupBy("word").agg(ordered.alias("edges"))
-    done = whole.select("word", _fold(F.col("edges"), pieces.longest).alias("ids"))
-    return done.select("word", F.xxhash64("word").alias("mark"), _spelt(F.col("word"), F.col("ids"), pieces.bytes_).alias("ids"))
+    lattice = edges(spark, found.select("key", "word").repartition(parts, "key"), pieces)
+    ordered = F.sort_array(F.collect_list(F.struct("code", "width", "id", "score")))
+    whole = lattice.groupBy("key").agg(ordered.alias("edges"))
+    long, short = (_fold(F.col("edges"), pieces.longest, k) for k in (True, False))
+    done = whole.select("key", F.when(F.size("edges") > LONG_EDGES, long).otherwise(short).alias("ids"))
+    return done.select("key", F.xxhash64("key").alias("mark"), F.crc32(F.col("key").cast("binary")).alias("check"), _spelt(F.col("ids"), pieces.bytes_).alias("ids"))
 
 
 #: Spark's seed, so that its xxhash64 and ours agree.
 SEED = 42
 
 
-def _numbers(batch: list[str]) -> np.ndarray:
-    return np.array(list(map(xxhash.xxh64_intdigest, batch, repeat(SEED))), np.uint64)
-
-
 class Book:
     """The ids of known words: hashes in order, as they come, and the ids of all words end to end.
 
-    About 20 bytes a word; of words with equal hashes none could be told apart,
-    so they are refused.
+    About 24 bytes a word. A word is known by 96 bits, 64 to find it and 32 to
+    check it; two with the same 64 are refused.
     """
 
     def __init__(self, path: str, small: bool):
@@ -228,40 +312,40 @@ class Book:
         for name in names:
             with fs.open_input_file(name) as file:
                 total += pyarrow.parquet.ParquetFile(file).metadata.num_rows
-        marks, stop, ids, at = np.empty(total, np.uint64), np.zeros(total + 1, np.uint32), bytearray(), 0
+        marks, check, stop, ids, at = np.empty(total, np.int64), np.empty(total, np.uint32), np.zeros(total + 1, np.uint32), bytearray(), 0
         kind = np.uint16 if small else np.int32
         for name in names:
             with fs.open_input_file(name) as file:
-                for batch in pyarrow.parquet.ParquetFile(file).iter_batches(65_536, columns=["mark", "ids"]):
+                for batch in pyarrow.parquet.ParquetFile(file).iter_batches(65_536, columns=["mark", "check", "ids"]):
                     n, lists = len(batch), batch.column("ids")
-                    marks[at : at + n] = batch.column("mark").to_numpy().view(np.uint64)
+                    marks[at : at + n] = batch.column("mark").to_numpy()
+                    check[at : at + n] = batch.column("check").to_numpy()
                     stop[at + 1 : at + n + 1] = stop[at] + np.cumsum(np.diff(lists.offsets.to_numpy())).astype(np.uint32)
                     ids += lists.flatten().to_numpy().astype(kind).tobytes()
                     at += n
-        self.marks, self.flat = marks, np.frombuffer(ids, kind)
-        self.stop = stop
-        if (marks.view(np.int64)[1:] <= marks.view(np.int64)[:-1]).any():
+        self.marks, self.check, self.stop, self.flat = marks, check, stop, np.frombuffer(ids, kind)
+        if (marks[1:] <= marks[:-1]).any():
             raise ValueError("words out of order, or two with one hash")
 
     def find(self, batch: list[str]) -> np.ndarray:
         """The place of each word, -1 for unknown ones."""
         if not len(self.marks):
             return np.full(len(batch), -1)
-        want = _numbers(batch).view(np.int64)
-        at = np.minimum(np.searchsorted(self.marks.view(np.int64), want), len(self.marks) - 1)
-        return np.where(self.marks.view(np.int64)[at] == want, at, -1)
-
-    def sizes(self, places: np.ndarray) -> np.ndarray:
-        """Ids of each place; none for unknown words."""
-        known = np.maximum(places, 0)
-        return np.where(places >= 0, self.stop[known + 1].astype(np.int64) - self.stop[known], 0) if len(self.marks) else np.zeros(len(places), np.int64)
-
-    def gather(self, places: np.ndarray) -> np.ndarray:
-        """The ids of all places end to end, unknown ones passed over."""
-        places = places[places >= 0]
-        size = self.sizes(places)
-        at = np.repeat(self.stop[places].astype(np.int64) - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return self.flat[at].astype(np.int32)
+        raw = [word_key(w).encode() for w in batch]
+        want = np.array(list(map(xxhash.xxh64_intdigest, raw, repeat(SEED))), np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.marks, want), len(self.marks) - 1)
+        known = (self.marks[at] == want) & (self.check[at] == np.array(list(map(zlib.crc32, raw)), np.uint32))
+        return np.where(known, at, -1)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all places end to end, unknown ones passed over, and where those of each begin and end."""
+        known = places >= 0
+        size = np.zeros(len(places), np.int64)
+        size[known] = self.stop[places[known] + 1].astype(np.int64) - self.stop[places[known]]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        some, n = places[known], size[known]
+        at = np.repeat(self.stop[some].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return self.flat[at].astype(np.int32), upto
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,66 +354,79 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def _encoded(docs: DataFrame, path: str, pieces: Pieces) -> DataFrame:
-    """doc_id, ids, gaps, exact, row: the ids of known words, and where words are unknown (at, word), at counting ids."""
-    cut = re.compile(pieces.cut)
-    gap_type = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())]))
+class Reader:
+    """Encodes texts by the book, remembering the chunks that it has met: SEEN at most."""
+
+    def __init__(self, book: Book, pieces: Pieces):
+        self.book, self.pieces, self.cut = book, pieces, Chunks(pieces)
+        # Chunk to its ids as bytes, for chunks between blanks and for words.
+        self.known: list[dict[str, bytes]] = [{}, {}]
+        #: Chunks with unknown words, and those that their ids do not decode to.
+        self.broken: list[set[str]] = [set(), set()]
+        self.wrong: list[set[str]] = [set(), set()]
+
+    def learn(self, texts: list[list[str]], whole: bool) -> None:
+        """Ids of all chunks of the texts that are new."""
+        if len(self.known[whole]) > SEEN:
+            for held in (self.known, self.broken, self.wrong):
+                held[whole].clear()
+        known = self.known[whole]
+        new = list({c for chunks in texts for c in chunks if c not in known})
+        parts = new if whole else self.cut.words(new)
+        places = self.book.find(parts)
+        flat, upto = self.book.ids(places)
+        first = np.arange(len(new)) if whole else np.flatnonzero([w[0] == SPACE for w in parts])
+        last = np.concatenate((first[1:], [len(parts)])).astype(np.int64)[: len(new)]
+        lost = np.concatenate(([0], np.cumsum(places < 0)))
+        raw = flat.tobytes()
+        start, stop = (4 * upto[first]).tolist(), (4 * upto[last]).tolist()
+        self.known[whole].update(zip(new, [raw[a:b] for a, b in zip(start, stop)]))
+        self.broken[whole].update(new[i] for i in np.flatnonzero(lost[last] > lost[first]).tolist())
+        surface = self.pieces.surface
+        # One comparison for all; each by itself only if it fails.
+        if b"".join([surface[i] for i in flat.tolist()]) != "".join(parts).encode().replace(SPACE.encode(), b" "):
+            for c, i, j, a, b in zip(new, first.tolist(), last.tolist(), start, stop):
+                if b"".join([surface[i] for i in np.frombuffer(raw[a:b], np.int32).tolist()]) != "".join(parts[i:j]).encode().replace(SPACE.encode(), b" "):
+                    self.wrong[whole].add(c)
+
+    def gaps(self, chunks: list[str], whole: bool) -> tuple[bytes, list[dict]]:
+        """Ids and gaps (after how many ids, key) of a text with unknown words."""
+        parts = chunks if whole else self.cut.words(chunks)
+        places = self.book.find(parts)
+        flat, upto = self.book.ids(places)
+        return flat.tobytes(), [{"at": int(upto[i]), "key": word_key(parts[i])} for i in np.flatnonzero(places < 0).tolist()]
 
-    def one(words_: Iterable[str], book: Book) -> tuple[np.ndarray, list[dict]]:
-        """Ids and gaps of a text with unknown words."""
-        words_ = list(words_)
-        places = book.find(words_)
-        at = np.cumsum(book.sizes(places)).tolist()
-        return book.gather(places), [{"at": at[i], "word": words_[i]} for i in np.flatnonzero(places < 0).tolist()]
+
+def _encoded(docs: DataFrame, path: str, pieces: Pieces) -> DataFrame:
+    """doc_id, ids, gaps, exact, row: the ids of known words, and where words are unknown (at, key), at counting ids."""
+    gap_type = pa.list_(pa.struct([("at", pa.int32()), ("key", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        book = Book(path, len(pieces.surface) < 1 << 16)
+        reader = Reader(Book(path, len(pieces.surface) < 1 << 16), pieces)
         for batch in _small(batches):
-            chunks = _chunks(batch.column(1), pieces)
-            each = chunks.flatten().dictionary_encode()
-            which, known = each.indices.to_numpy(), each.dictionary.to_pylist()
-            lists = _cut_all(known, cut, pieces.prefix)
-            parts = list(chain.from_iterable(lists))
-            places = book.find(parts)
-            count = np.fromiter(map(len, lists), np.int64, len(lists))
-            # Ids of each distinct chunk: where they start in flat, and how many there are.
-            upto = np.concatenate(([0], np.cumsum(book.sizes(places))))
-            last = np.cumsum(count)
-            start, size = upto[last - count], upto[last] - upto[last - count]
-            flat = book.gather(places)
-            lost = np.concatenate(([0], np.cumsum(places < 0)))
-            broken = lost[last] > lost[last - count]
-            # Chunks that their ids do not decode to; one comparison for all, each by itself only if it fails.
-            wrong = np.zeros(len(known), bool)
-            if b"".join([pieces.surface[i] for i in flat.tolist()]) != "".join(parts).replace(SPACE, " ").encode() or any(SPACE in c for c in known):
-                wrong = np.array([SPACE in c or decode(flat[a : a + n].tolist(), pieces) != "".join(x)[pieces.prefix :].replace(SPACE, " ") for c, x, a, n in zip(known, lists, start.tolist(), size.tolist())], bool)
-            sizes = size[which]
-            at = np.repeat((start[which] - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
-            at += np.arange(len(at), dtype=np.int32)
-            ids = flat[at]
-            bounds = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
-            ends = np.concatenate(([0], np.cumsum(sizes)))[bounds]
-            count_of = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags[which])))[bounds])
-            holes, doubt = count_of(broken), count_of(wrong)
-            gaps, exact = [[]] * len(batch), [True] * len(batch)
-            rebuilt: dict[int, np.ndarray] = {}
-            for i in np.flatnonzero(holes).tolist():
-                rebuilt[i], gaps[i] = one(chain.from_iterable(lists[w] for w in which[bounds[i] : bounds[i + 1]].tolist()), book)
-                exact[i] = None
-            if rebuilt:
-                rows_ = [rebuilt.get(i, ids[ends[i] : ends[i + 1]]) for i in range(len(batch))]
-                ids, ends = np.concatenate(rows_), np.concatenate(([0], np.cumsum([len(x) for x in rows_])))
-            for i in np.flatnonzero(doubt).tolist():
-                if exact[i]:
-                    exact[i] = decode(ids[ends[i] : ends[i + 1]].tolist(), pieces) == (batch.column(1)[i].as_py() or "")
-            made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            cut = [reader.cut.of(t) for t in texts]
+            for whole in (False, True):
+                reader.learn([c for w, c in cut if w == whole], whole)
+            get = [k.__getitem__ for k in reader.known]
+            raw = [b"".join(map(get[w], c)) for w, c in cut]
+            gaps: list[list[dict]] = [[]] * len(batch)
+            exact: list[bool | None] = [True] * len(batch)
+            for i, (w, c) in enumerate(cut):
+                if reader.broken[w] and not reader.broken[w].isdisjoint(c):
+                    raw[i], gaps[i] = reader.gaps(c, w)
+                    exact[i] = None
+                elif w and SPACE in texts[i] or reader.wrong[w] and not reader.wrong[w].isdisjoint(c):
+                    exact[i] = decode(np.frombuffer(raw[i], np.int32).tolist(), pieces) == texts[i]
+            ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), made, pa.array(gaps, gap_type), pa.array(exact, pa.bool_()), batch.column(2)], names=["doc_id", "ids", "gaps", "exact", "row"])
         # A worker lives on after its task: it gives the memory back.
-        del book
+        del reader
         give_back()
 
-    return docs.mapInArrow(work, "doc_id long, ids array<int>, gaps array<struct<at:int,word:string>>, exact boolean, row long")
+    return docs.mapInArrow(work, "doc_id long, ids array<int>, gaps array<struct<at:int,key:string>>, exact boolean, row binary")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -349,41 +446,50 @@ def _filled(ids, gaps):
 def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, head: int = HEAD) -> DataFrame:
     """doc_id, n_pieces, ids and exact (the ids decode to the text) of each row of docs.
 
-    Words are encoded once for the whole corpus. Workers read the ids of the
-    `head` most frequent ones from the shared folder, a bounded table; rows with
-    further words get those by a join. The session's Arrow batches are made
-    smaller if they are larger than BATCH rows. Null and empty texts have no ids; texts
-    with the escape character itself decode to a blank there, so they are not
-    exact; repeated rows each get a row; an empty table gives none.
+    Words are encoded once for the whole corpus. Workers read the ids of `head`
+    of them from the shared folder, those that most gatherings have, a bounded
+    table; rows with further words get those by a join. The session's Arrow
+    batches are made smaller if they are larger than BATCH rows. Null and empty
+    texts have no ids; texts with the escape character itself decode to a blank
+    there, so they are not exact; repeated rows each get a row; an empty table
+    gives none.
     """
     pieces = load(model)
     # Texts can be long: batches of 10,000 rows, Spark's default, would fill a worker.
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     counts = settle(spark, words(docs, pieces).where("word <> ''"), "words")
-    done = settle(spark, encode_words(spark, counts, pieces), "ids")
+    total = counts.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
+    done = settle(spark, encode_words(spark, counts, pieces, parts), "ids")
     top, rare = done, None
-    if counts.count() > head:
-        top = counts.join(done, "word").orderBy(F.desc("n"), "word").limit(head).select("word", "mark", "ids")
+    if total > head:
+        top = counts.select("key", "n").join(done, "key").orderBy(F.desc("n"), "key").limit(head).select("key", "mark", "check", "ids")
     path = shared_path(spark, "head")
     # In the order of the hashes, from the first file to the last.
     top.repartitionByRange(PARTS, "mark").sortWithinPartitions("mark").write.parquet(path)
     if top is not done:
-        rare = done.join(spark.read.parquet(path).select("word"), "word", "left_anti")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row"))
+        rare = done.join(spark.read.parquet(path).select("key"), "key", "left_anti")
+    # Rows with further words are known by the digest of their text.
+    row = F.lit(None).cast("binary") if rare is None else _digest(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
     full = _encoded(rows, path, pieces)
     if rare is None:
         return full.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
     return _with_rare(spark, docs, settle(spark, full, "known"), rare, pieces)
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def _with_rare(spark: SparkSession, docs: DataFrame, full: DataFrame, rare: DataFrame, pieces: Pieces) -> DataFrame:
     whole = full.where(F.size("gaps") == 0).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
     open_ = full.where(F.size("gaps") > 0)
-    holes = open_.dropDuplicates(["row"]).select("row", F.posexplode("gaps").alias("k", "gap")).select("row", "k", "gap.at", "gap.word")
-    holes = holes.join(rare, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "at", "ids"))).alias("holes"))
+    holes = open_.dropDuplicates(["row"]).select("row", F.posexplode("gaps").alias("k", "gap")).select("row", "k", "gap.at", "gap.key")
+    holes = holes.join(rare, "key").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "at", "ids"))).alias("holes"))
     some = open_.join(holes, "row").select("row", "doc_id", _filled("ids", "holes").alias("ids"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text")).dropDuplicates(["row"])
+    texts = docs.select(_digest(F.col("text")).alias("row"), F.col("text").cast("string").alias("text")).dropDuplicates(["row"])
 
     @F.pandas_udf("boolean")
     def same(ids, text):

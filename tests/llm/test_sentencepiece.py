@@ -77,3 +77,28 @@ def test_long_word_and_empty_table(spark, make, pieces):
     r = L.encode(spark, make([(1, word, "s")])).first()
     assert r.exact and r.ids == best(L.escaped(word, pieces), pieces)[1]
     assert L.encode(spark, make([])).count() == 0
+
+
+def test_long_words_take_time_in_proportion(spark, make, pieces, rng):
+    import time
+
+    def seconds(n):
+        word = "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+        began = time.time()
+        assert L.encode(spark, make([(1, word, "s")])).first().exact
+        return time.time() - began
+
+    seconds(500)
+    assert seconds(20_000) < 4 * seconds(5_000)
+
+
+def test_dropped_pieces_are_on_no_best_path(pieces, rng):
+    kept = L.useful(pieces)
+    assert len(kept) < len(pieces.names) and all(n in kept for n in pieces.names if len(n) == 1)
+    score = dict(zip(pieces.names, pieces.scores))
+    for name in rng.sample(sorted(set(score) - set(kept)), 200):
+        least = min(pieces.scores) - L.UNKNOWN
+        top = [0.0]
+        for stop in range(1, len(name) + 1):
+            top.append(max(top[i] + score.get(name[i:stop], least if stop - i == 1 else float("-inf")) for i in range(stop) if stop - i < len(name)))
+        assert top[-1] > score[name]
