@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,12 +170,27 @@ def label_key(text: Column) -> Column:
 
 
 def rule_comparison(rows: DataFrame) -> DataFrame:
-    """accepted by the placeholder rules, by all rules, and newly rejected ones, over (source, output, numbers)."""
-    a = checks.placeholder_reason(F.col("source"), F.col("output"), F.col("numbers"))
-    b = checks.structure_reason(F.col("source"), F.col("output"))
+    """accepted by the placeholder rules, by all rules and the vocabulary, and newly rejected ones.
+
+    rows: source, output, numbers, and unknown (array<string>) where a backend
+    has told unknown pieces; see newly_rejected for the rules.
+    """
+    a, b = _both_rules(rows)
     return rows.agg(F.count_if(a.isNull()).alias("accepted_a"), F.count_if(a.isNull() & b.isNull()).alias("accepted_both"), F.count_if(a.isNull() & b.isNotNull()).alias("newly_rejected"))
 
 
+def newly_rejected(rows: DataFrame) -> DataFrame:
+    """rule, n: what rejects rows that pass the placeholder rules, most frequent first."""
+    a, b = _both_rules(rows)
+    return rows.where(a.isNull() & b.isNotNull()).groupBy(checks.reason_family(b).alias("rule")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule")
+
+
+def _both_rules(rows: DataFrame) -> tuple[Column, Column]:
+    structure = checks.structure_reason(F.col("source"), F.col("output"))
+    unknown = F.when(F.size("unknown") > 0, "oov") if "unknown" in rows.columns else F.lit(None).cast("string")
+    return checks.placeholder_reason(F.col("source"), F.col("output"), F.col("numbers")), F.coalesce(unknown, structure)
+
+
 def sentence_drift(rows: DataFrame) -> DataFrame:
     """Translated rows of two and more sentences, and those whose number of sentences changed."""
     n, m = checks.sentence_count(F.col("source")), checks.sentence_count(F.col("output"))
@@ -188,7 +205,52 @@ def unknown_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(unknown_kind(F.col("unknown")).alias("kind")).agg(F.count("*").alias("n")).where("kind is not null")
 
 
-def acceptance(rows: DataFrame, top: int = 8) -> DataFrame:
-    """reason family, n, of rejected or partly recovered rows, the `top` most frequent."""
-    bad = rows.where(F.col("outcome.reason").isNotNull())
-    return bad.groupBy(checks.reason_family(F.col("outcome.reason")).alias("family")).agg(F.count("*").alias("n"), F.count_if(F.col("outcome.translated")).alias("recovered")).orderBy(F.desc("n"), "family").limit(top)
+def acceptance(rows: DataFrame) -> DataFrame:
+    """One row over (text, outcome): n, accepted, rejected, recovered and lost, and the same for those with literals.
+
+    Accepted: translated without a reason. Rejected: all others, of which those
+    partly translated are recovered, and those that stay in English are lost.
+    masked counts rows with a literal, masked_lost the lost ones of them; shares
+    are of n, masked_share of masked.
+    """
+    done, reason = F.col("outcome.translated"), F.col("outcome.reason")
+    live = rows.where("outcome is not null").withColumn("__literal", F.size(masking.tokens(F.col("text"))) > 0)
+    counts = live.agg(
+        F.count("*").alias("n"),
+        F.count_if(done & reason.isNull()).alias("accepted"),
+        F.count_if(~done | reason.isNotNull()).alias("rejected"),
+        F.count_if(done & reason.isNotNull()).alias("recovered"),
+        F.count_if(~done).alias("lost"),
+        F.count_if("__literal").alias("masked"),
+        F.count_if(F.col("__literal") & ~done).alias("masked_lost"),
+    )
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+    return counts.select("*", share("accepted", "n").alias("accepted_share"), share("lost", "n").alias("lost_share"), share("masked_lost", "masked").alias("masked_share"))
+
+
+def top_reasons(rows: DataFrame, top: int = 8) -> DataFrame:
+    """reason, n: the most frequent recorded reasons, ties by name."""
+    return rows.where("outcome.reason is not null").groupBy(F.col("outcome.reason").alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(top)
+
+
+def page_counts(segments: DataFrame) -> DataFrame:
+    """doc, prose, hits: segments with an outcome of each document, and those that the cache had."""
+    live = segments.where("outcome is not null")
+    return live.groupBy("doc").agg(F.count("*").alias("prose"), F.count_if("hit").alias("hits"))
+
+
+def cold_and_warm(docs: DataFrame, backend, memo, **options) -> DataFrame:
+    """run (cold, warm), seconds, lookups, hits, rate, translated, english, literal and speedup of two runs over one cache."""
+    from inkloom.plans.document import translate
+
+    rows: list[tuple] = []
+    for run in ("cold", "warm"):
+        began = time.perf_counter()
+        done = translate(docs, backend, memo=memo, **options)
+        done.texts.write.format("noop").mode("overwrite").save()
+        seconds = time.perf_counter() - began
+        c = outcome_counts(done.segments).first()
+        rate = c.hits / c.prose if c.prose else 0.0
+        rows.append((run, seconds, c.prose, c.hits, rate, c.translated, c.english, c.literal, (rows[0][1] if rows else seconds) / seconds))
+    fields = "run string, seconds double, lookups long, hits long, rate double, translated long, english long, literal long, speedup double"
+    return docs.sparkSession.createDataFrame(rows, fields)

@@ -44,3 +44,47 @@ def test_ratios_and_drift(spark):
     compared = rows.withColumn("numbers", F.array().cast("array<int>"))
     assert tuple(R.rule_comparison(compared).first()) == (2, 1, 1)
     assert R.size_histogram(spark.createDataFrame([(0,), (1,), (10,), (11,), (900,)], "size int")).count() == 3
+
+
+def test_acceptance_and_reasons(spark):
+    rows = [("a `x`", ("b `x`", True, None)), ("a", ("a", False, "oov")), ("c `y` d", ("c `y` d", False, "oov")), ("e. f", ("g. f", True, "1 of 2")), ("lit", None)]
+    df = spark.createDataFrame(rows, "text string, outcome struct<text:string,translated:boolean,reason:string>")
+    r = R.acceptance(df).first()
+    assert (r.n, r.accepted, r.rejected, r.recovered, r.lost, r.masked, r.masked_lost) == (4, 1, 3, 1, 2, 2, 1)
+    assert (r.accepted_share, r.lost_share, r.masked_share) == (0.25, 0.5, 0.5)
+    assert [tuple(x) for x in R.top_reasons(df, 1).collect()] == [("oov", 2)]
+    assert R.acceptance(df.limit(0)).first().masked_share == 0.0
+
+
+def test_new_rules(spark):
+    rows = [("One. Two.", "Um. Dois.", []), ("One. Two.", "Um e dois..", []), ("Pure one", "Puro um", ["%%"]), ("x", "", [])]
+    df = spark.createDataFrame(rows, "source string, output string, unknown array<string>").withColumn("numbers", F.array().cast("array<int>"))
+    assert tuple(R.rule_comparison(df).first()) == (3, 1, 2)
+    assert sorted(tuple(x) for x in R.newly_rejected(df).collect()) == [("sentence count", 1), ("unknown vocabulary", 1)]
+
+
+def test_side_by_side(spark):
+    rows = [("d", i, f"line {i}\nmore", (f"linha {i}", True, None) if i % 2 else ("same", False, "oov")) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc string, seg_no int, text string, outcome struct<text:string,translated:boolean,reason:string>")
+    out = [r.value for r in S.side_by_side(df, 3).collect()]
+    assert len(out) == 3 and out[0] == "## d / 0: kept (oov)\n\n> line 0\n> more\n\n> same"
+
+
+def test_hot_groups_are_numbered_in_parts(spark):
+    rows = [("hot" if i % 3 else f"g{i % 7}", i) for i in range(900)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(8)
+    got = {(r.g, r.v): (r["__at"], r["__n"]) for r in S.numbered(df, ["g"], ["v"]).collect()}
+    for g in {g for g, _ in rows}:
+        values = sorted(v for x, v in rows if x == g)
+        assert all(got[g, v] == (k, len(values)) for k, v in enumerate(values))
+
+
+def test_cold_and_warm(spark, tmp_path):
+    from inkloom import Memo
+    from inkloom.operators.backend import Identity
+    from inkloom.plans.document import chosen_width
+
+    docs = spark.createDataFrame([(1, "This is the one of the things. It is what it is for them.")], "doc_id long, text string")
+    cold, warm = R.cold_and_warm(docs, Identity(), Memo(spark, f"{tmp_path}/memo", "identity", 1)).collect()
+    assert (cold.run, cold.hits, warm.rate, warm.lookups) == ("cold", 0, 1.0, cold.lookups) and cold.lookups > 0
+    assert [chosen_width(w) for w in ("100", "39", "wide", None, 40)] == [100, 80, 80, 80, 40]
