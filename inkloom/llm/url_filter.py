@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from inkloom.llm._shared import settle
 #: (verdict, host, path) of each rule; a rule fits its host, all subdomains, and paths that start with its own.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: Words that count once for either class before any URL does: a prior, no verdict.
+#: Words with odds of PRIOR to one for either class before any URL counts, and log odds from which a URL is blocked:
+#: most URLs are wanted, so what little counts say is not enough.
+PRIOR, LEAST = 50.0, 3.0
 UNWANTED = (
     "adult ads adware affiliate bet bets betting bingo bonus buy casino cheap click clicks coupon credit crypto dating deal deals diet discount drugs escort farm free gambling"
     " hack jackpot keygen loan loans lottery lucky malware money nude offer offers payday pharma pharmacy phish pills poker popup porn prize promo replica rich sex sexy slot slots"
@@ -145,7 +148,7 @@ def segment(spark: SparkSession, found: DataFrame, words: DataFrame, *, others:
 def vocabulary(spark: SparkSession, each: DataFrame) -> DataFrame:
     """word and n: names that several hosts have, over all URLs, and the fixed lists.
 
-    A name that words at least as frequent spell is a compound and no word, so it does
+    A name that words at least half as frequent spell is a compound and no word, so it does
     not hide from the split.
     """
     # Host and name are counted together first, so a hot host is a row for each of its names.
@@ -156,20 +159,22 @@ def vocabulary(spark: SparkSession, each: DataFrame) -> DataFrame:
     words = settle(spark, own.unionByName(fixed).groupBy("word").agg(F.sum("n").alias("n")), "words")
     cut = segment(spark, words.select(F.col("word").alias("name")), words, others=True).where("whole and size(words) > 1")
     parts = cut.select("name", F.explode("words").alias("word")).join(words, "word").groupBy("name").agg(F.min("n").alias("least"))
-    compound = parts.join(words, parts["name"] == words["word"]).where(F.col("least") >= F.col("n")).select("name")
+    compound = parts.join(words, parts["name"] == words["word"]).where(2 * F.col("least") >= F.col("n")).select("name")
     return settle(spark, words.join(compound, words["word"] == compound["name"], "left_anti"), "vocabulary")
 
 
-def tokens(spark: SparkSession, urls: DataFrame) -> DataFrame:
+def tokens(spark: SparkSession, urls: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """id and token of each word of each distinct URL, those of the path with a slash before them.
 
-    Digits count by their number, up to four; words that every URL has are left out.
+    Digits count by their number, up to four. Words that every URL has are left
+    out, and so are those that rules name: they tell what a rule says already.
     """
     each = settle(spark, names(urls), "names")
     split = segment(spark, each.where(_lettered()).select("name").distinct(), vocabulary(spark, each))
     digits = F.array(F.concat(F.lit("#"), F.least(F.length("name"), F.lit(4)).cast("string")))
     both = each.join(split.select("name", "words"), "name", "left").withColumn("words", F.when(_lettered(), F.col("words")).otherwise(digits))
-    out = both.select("id", "side", F.explode("words").alias("word")).where(~F.col("word").isin(*sorted(GENERIC)))
+    named = {w for _, h, p in rules for w in re.findall(r"\w+", f"{h} {p}".lower())}
+    out = both.select("id", "side", F.explode("words").alias("word")).where(~F.col("word").isin(*sorted(GENERIC | named)))
     return settle(spark, out.select("id", F.concat("side", "word").alias("token")), "tokens")
 
 
@@ -181,16 +186,16 @@ def _labelled(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 def fit_bayes(spark: SparkSession, found: DataFrame, labelled: DataFrame) -> DataFrame:
     """token and odds (above 0: block): multinomial naive Bayes with add-one smoothing, both classes equally likely before.
 
-    Counts are those of all labelled URLs; each word of the fixed lists counts
-    once besides. Tokens of neither have no odds.
+    Counts are those of all labelled URLs. To what was learned words of the fixed
+    lists add their prior odds; tokens of neither have no odds.
     """
     rows = found.join(labelled.select("id", "n", "label"), "id").select("token", *[F.when(F.col("label") == v, F.col("n")).otherwise(0).alias(v) for v in ("block", "allow")])
-    prior = [(side + w, int(k == 0), int(k == 1)) for k, fixed in enumerate((UNWANTED, WANTED)) for w in fixed for side in ("", "/")]
-    rows = rows.unionByName(spark.createDataFrame(prior, "token string, block long, allow long"))
     counts = settle(spark, rows.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "counts")
-    block, allow, size = counts.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
+    block, allow, size = counts.agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0)), F.count("*")).first()
     share = lambda c, whole: F.log((F.col(c) + 1) / float(whole + size + 1))
-    return counts.select("token", (share("block", block) - share("allow", allow)).alias("odds"))
+    learned = counts.select("token", (share("block", block) - share("allow", allow)).alias("odds"))
+    prior = [(side + w, sign * math.log(PRIOR)) for sign, fixed in ((1, UNWANTED), (-1, WANTED)) for w in fixed for side in ("", "/")]
+    return learned.unionByName(spark.createDataFrame(prior, "token string, odds double")).groupBy("token").agg(F.sum("odds").alias("odds"))
 
 
 def scores(found: DataFrame, odds: DataFrame) -> DataFrame:
@@ -202,31 +207,31 @@ def scores(found: DataFrame, odds: DataFrame) -> DataFrame:
 def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score and words of each row of pages.
 
-    The rule's verdict stands where one fits; elsewhere a score (log odds) above
-    0 blocks. The odds are learned from the URLs that rules judge, the only
+    The rule's verdict stands where one fits; elsewhere a score (log odds) of
+    LEAST or more blocks. The odds are learned from the URLs that rules judge, the only
     labels there are. Null urls and urls without :// have an empty host and path,
     no words, score 0 and are allowed. Repeated rows each get a row; an empty
     table gives none; only page_id and url are read.
     """
     rows = _urls(pages)
     urls = distinct_urls(spark, rows)
-    found = tokens(spark, urls)
+    found = tokens(spark, urls, rules)
     known = scores(found, fit_bayes(spark, found, _labelled(urls, rules)))
     judged = settle(spark, urls.join(known, "id", "left").select("host", "path", "score", "words"), "judged")
     done = rows.join(judged, ["host", "path"])
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     score = F.coalesce("score", F.lit(0.0))
-    own = F.when(score > 0, "block").otherwise("allow")
+    own = F.when(score >= LEAST, "block").otherwise("allow")
     return done.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"), score.alias("score"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
 def agreement(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> tuple[int, int]:
     """How many distinct labelled URLs are held out, and for how many of them what was learned from the others agrees."""
     urls = distinct_urls(spark, _urls(pages))
-    found = tokens(spark, urls)
+    found = tokens(spark, urls, rules)
     held = F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)) == 0
     labelled = _labelled(urls, rules)
     known = scores(found, fit_bayes(spark, found, labelled.where(~held)))
     tested = labelled.where(held).join(known, "id", "left")
-    says = F.when(F.coalesce("score", F.lit(0.0)) > 0, "block").otherwise("allow")
+    says = F.when(F.coalesce("score", F.lit(0.0)) >= LEAST, "block").otherwise("allow")
     return tuple(tested.agg(F.count("*"), F.count_if(says == F.col("label"))).first())

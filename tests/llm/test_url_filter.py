@@ -36,9 +36,14 @@ def test_method_blocks_joined_names(spark):
     assert all({"free", "casino", "bets"} <= set(r.words) for r in out if r.host.startswith("free"))
 
 
+def test_a_listed_word_alone_does_not_decide(spark):
+    urls = ["http://freelibrary.com/", "http://freebets.com/", "http://casino.edu/research/library"]
+    assert [r.verdict for r in U.judge(spark, pages(spark, urls)).orderBy("page_id").collect()] == ["allow", "block", "allow"]
+
+
 def learned(spark):
     """Names that only rules tell apart: zog and brim on hosts that a rule blocks, plum on allowed ones."""
-    bad = [f"http://{w}{i}.net/{v}{i}" for i in range(12) for w, v in (("zogbrim", "zog"), ("brim", "brimzog"))]
+    bad = [f"http://{w}{i}.net/{v}{i}" for i in range(40) for w, v in (("zogbrim", "zog"), ("brim", "brimzog"))]
     good = [f"http://plum{i}.org/fr/plumfig/{i}" for i in range(12)] + [f"http://fig.plum{i}.org/fr/x" for i in range(12)]
     return bad + good, ["http://zogfig.com/zogbrim", "http://brimzog.io/a", "http://plumfig.com/plum", "http://fig.io/plum"]
 
@@ -61,7 +66,7 @@ def test_scores_equal_a_plain_model(spark):
     of = {}
     for r in found.collect():
         of.setdefault(r.id, []).append(r.token)
-    counts = {side + w: [int(k == 0), int(k == 1)] for k, fixed in enumerate((U.UNWANTED, U.WANTED)) for w in fixed for side in ("", "/")}
+    counts = {}
     for i, words in of.items():
         for w in words:
             if i in label:
@@ -69,6 +74,10 @@ def test_scores_equal_a_plain_model(spark):
     size = len(counts) + 1
     whole = [sum(c[k] for c in counts.values()) + size for k in (0, 1)]
     odds = {w: math.log((b + 1) / whole[0]) - math.log((a + 1) / whole[1]) for w, (b, a) in counts.items()}
+    for sign, fixed in ((1, U.UNWANTED), (-1, U.WANTED)):
+        for w in fixed:
+            for form in (w, "/" + w):
+                odds[form] = odds.get(form, 0.0) + sign * math.log(U.PRIOR)
     got = {r.id: r.score for r in U.scores(found, U.fit_bayes(spark, found, U._labelled(urls, U.RULES))).collect()}
     assert set(got) == set(of)
     for i, words in of.items():
