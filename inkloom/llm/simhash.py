@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkloom.llm._shared import byte_words, components, give_back, settle, ship
+from inkloom.llm._shared import byte_words, components, free, give_back, settle, ship
 
 #: Node pairs that are expanded together, and products of node sizes that are compared outright.
 FRONT, LEAF = 1 << 19, 24
@@ -219,21 +219,26 @@ def _slice(fp: Column, start: int, width: int) -> Column:
     return F.shiftleft(one, width - have).bitwiseOR(_slice(fp, (word + 1) * 64, width - have))
 
 
-def _pieces(width: int, n: int) -> list[tuple[int, int]]:
-    cuts = [width * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def _cut(bits: list[int], n: int) -> list[list[int]]:
+    """The bits in n runs of about equal size."""
+    return [bits[len(bits) * k // n : len(bits) * (k + 1) // n] for k in range(n)]
 
 
-def _order(table: int, width: int, first: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The runs of bits (start, width) of a table in trie order, those of first leading."""
-    rest, at = [], 0
-    for a, w in sorted(first):
-        if a > at:
-            rest.append((at, a - at))
-        at = a + w
-    if at < width:
-        rest.append((at, width - at))
-    return [(table * width + a, w) for a, w in [*first, *rest]]
+def _value(fp: Column, bits: list[int]) -> Column:
+    """The bits of fp, by their places, as one number; neighbours are taken together."""
+    out, at = None, 0
+    while at < len(bits):
+        end = at + 1
+        while end < len(bits) and bits[end] == bits[end - 1] + 1:
+            end += 1
+        part = _slice(fp, bits[at], end - at)
+        out = part if out is None else F.shiftleft(out, end - at).bitwiseOR(part)
+        at = end
+    return out
+
+
+#: Times that a subtree is cut; after that few bits are left, and distinct fingerprints are few too.
+CUTS = 6
 
 
 def links(spark: SparkSession, fps: DataFrame, scheme: Scheme) -> DataFrame:
@@ -243,67 +248,72 @@ def links(spark: SparkSession, fps: DataFrame, scheme: Scheme) -> DataFrame:
     on one. So each piece heads a trie of its own, the subtrees below its values
     are the tasks, and the pair traversal starts there. A subtree with more
     than TRIE_ROWS fingerprints is cut again in the same way over the bits that
-    remain, which is exact as well.
+    remain, which is exact as well, until it is small.
     """
-    count = scheme.words * 64 // scheme.width
-    todo, tasks = [(t, []) for t in range(count)], []
-    fps = fps.select("id", "fp")
-    parts: DataFrame | None = None
-    for t, first in todo:
-        for a, w in _pieces(scheme.width, scheme.near + 1):
-            tasks.append((t, [*first, (a, w)]))
-    heads = F.array(*[F.struct(F.lit(k).alias("task"), _slice(F.col("fp"), t * scheme.width + f[0][0], f[0][1]).alias("head")) for k, (t, f) in enumerate(tasks)])
-    parts = fps.select("id", "fp", F.explode(heads).alias("h")).select("id", "fp", "h.task", "h.head", F.lit(-1).alias("again"), F.lit(0).cast("long").alias("more"))
-    sizes = parts.groupBy("task", "head").count().where(F.col("count") > TRIE_ROWS).select("task", "head")
-    large = settle(spark, sizes, "large")
-    if large.limit(1).count():
-        hot = parts.join(large, ["task", "head"], "left_semi")
-        cut = None
-        for k, (t, f) in enumerate(tasks):
-            rest = [r for r in _order(t, scheme.width, f)[1:]]
-            bits: list[int] = [s + i for s, w in rest for i in range(w)]
-            again = []
-            for n, (a, w) in enumerate(_pieces(len(bits), scheme.near + 1)):
-                value = F.lit(0).cast("long")
-                for b in bits[a : a + w]:
-                    value = F.shiftleft(value, 1).bitwiseOR(_slice(F.col("fp"), b, 1))
-                again.append(F.struct(F.lit(n).alias("again"), value.alias("more")))
-            cut = F.when(F.col("task") == k, F.array(*again)) if cut is None else cut.when(F.col("task") == k, F.array(*again))
-        hot = hot.select("id", "fp", "task", "head", F.explode(cut).alias("c")).select("id", "fp", "task", "head", "c.again", "c.more")
-        parts = parts.join(large, ["task", "head"], "left_anti").select(*hot.columns).unionByName(hot)
-
-    def work(task: int, again: int, group: pa.Table) -> pa.Table:
-        t, first = tasks[task]
+    places = [list(range(t * scheme.width, (t + 1) * scheme.width)) for t in range(scheme.words * 64 // scheme.width)]
+    # Of a task: the table, and the bits that its subtrees agree on, in order.
+    tasks = [(t, piece) for t, all_ in enumerate(places) for piece in _cut(all_, scheme.near + 1)]
+
+    added = dict(enumerate(piece for _, piece in tasks))
+
+    def heads(which: list[int], before: Column) -> Column:
+        """Task and head of a fingerprint for each of the tasks; before: what it agreed on already."""
+        return F.array(*[F.struct(F.lit(k).alias("task"), F.concat_ws(",", before, _value(F.col("fp"), added[k]).cast("string")).alias("head")) for k in which])
+
+    parts = fps.select("id", "fp", F.explode(heads(list(added), F.lit(None).cast("string"))).alias("h")).select("id", "fp", "h.task", "h.head")
+    for _ in range(CUTS):
+        sizes = parts.groupBy("task", "head").count().where(F.col("count") > TRIE_ROWS).select("task", "head")
+        large = settle(spark, sizes, "large")
+        hot = [r.task for r in large.select("task").distinct().collect()]  # no more than there are tasks
+        hot = [k for k in hot if scheme.width - len(tasks[k][1]) > scheme.near]
+        if not hot:
+            break
+        again = None
+        for k in sorted(hot):
+            t, used = tasks[k]
+            new = []
+            for piece in _cut([b for b in places[t] if b not in set(used)], scheme.near + 1):
+                added[len(tasks)] = piece
+                new.append(len(tasks))
+                tasks.append((t, [*used, *piece]))
+            below = heads(new, F.col("head"))
+            again = F.when(F.col("task") == k, below) if again is None else again.when(F.col("task") == k, below)
+        large = large.where(F.col("task").isin(*hot))
+        cut = parts.join(large, ["task", "head"], "left_semi").select("id", "fp", F.explode(again).alias("h")).select("id", "fp", "h.task", "h.head")
+        parts = settle(spark, parts.join(large, ["task", "head"], "left_anti").select(*cut.columns).unionByName(cut), "subtrees")
+
+    def work(task: int, group: pa.Table) -> pa.Table:
+        t, used = tasks[task]
         ids = group.column("id").to_numpy()
         fp = group.column("fp").combine_chunks()
         bits = np.asarray(fp.flatten()).astype(np.int64).view(np.uint64).reshape(len(ids), scheme.words)
         codes = np.zeros(len(ids), np.uint64)
-        for start, width in _order(t, scheme.width, first):
-            for b in range(start, start + width):
-                codes = (codes << np.uint64(1)) | ((bits[:, b // 64] >> np.uint64(63 - b % 64)) & np.uint64(1))
-        forest = spanning(bits, codes, scheme.width, scheme.near, scheme.far, first[0][1])
+        for b in [*used, *(b for b in places[t] if b not in set(used))]:
+            codes = (codes << np.uint64(1)) | ((bits[:, b // 64] >> np.uint64(63 - b % 64)) & np.uint64(1))
+        forest = spanning(bits, codes, scheme.width, scheme.near, scheme.far, len(used))
         a, b = (ids[[e[k] for e in forest]] if forest else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The subtrees of a partition, whose rows come sorted by subtree; small ones of a task together."""
         held: list[pa.RecordBatch] = []
-        key: tuple[int, ...] | None = None
+        key: tuple[int, str] | None = None
         rows = 0
 
         def flush() -> list[pa.RecordBatch]:
             group = pa.Table.from_batches(held)
             held.clear()
-            return work(key[0], key[2], group).to_batches() if len(group) > 1 else []
+            return work(key[0], group).to_batches() if len(group) > 1 else []
 
         for batch in batches:
-            cols = [np.asarray(batch.column(c)) for c in ("task", "head", "again", "more")]
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if len(batch) else []
-            firsts = [0, *list(cuts)] if len(batch) else []
+            if not len(batch):
+                continue
+            task, head = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "head"))
+            firsts = [0, *(np.flatnonzero((task[1:] != task[:-1]) | (head[1:] != head[:-1])) + 1).tolist()]
             begin = 0
-            for lo, now in zip(firsts, zip(*(c[firsts].tolist() for c in cols))):
-                # A part that was cut again stands alone: its rows come once more in other parts of its subtree.
-                if key is not None and now != key and (now[0] != key[0] or now[2] >= 0 or key[2] >= 0 or rows + lo - begin >= BUNCH_ROWS):
+            for lo in firsts:
+                now = (int(task[lo]), head[lo])
+                if key is not None and now != key and (now[0] != key[0] or rows + lo - begin >= BUNCH_ROWS):
                     held.append(batch.slice(begin, lo - begin))
                     yield from flush()
                     begin, rows = lo, 0
@@ -314,8 +324,7 @@ def links(spark: SparkSession, fps: DataFrame, scheme: Scheme) -> DataFrame:
             yield from flush()
         give_back()
 
-    keys = ["task", "head", "again", "more"]
-    grouped = parts.repartition(*keys).sortWithinPartitions(*keys)
+    grouped = parts.repartition("task", "head").sortWithinPartitions("task", "head")
     return grouped.mapInArrow(lone, "a long, b long").distinct()
 
 
@@ -371,8 +380,8 @@ def _jaccard(a, b):
 
 #: One text in SAMPLE tells which shingles are frequent: those in SEEN of them or more, LATE at most.
 SAMPLE, SEEN, LATE = 64, 4, 100_000
-#: Texts of a shingle up to which their pairs are counted.
-PAIRED = 64
+#: Texts of a shingle up to which their pairs are counted, and texts of a block of more frequent ones.
+PAIRED, BLOCK_TEXTS = 64, 1_000
 
 
 def _hashes(scheme: Scheme, words: list[bytes]) -> np.ndarray:
@@ -446,8 +455,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield several(held)
 
 
-def matching(roots: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of positions of at least `similarity` that join all roots which such pairs of these sets connect."""
+def matching(roots: list[int], sets: list[np.ndarray], similarity: float, sides: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs of positions of at least `similarity` that join all roots which such pairs of these sets connect.
+
+    With sides, only pairs of different sides count.
+    """
     up = {r: r for r in roots}
 
     def find(x: int) -> int:
@@ -469,6 +481,8 @@ def matching(roots: list[int], sets: list[np.ndarray], similarity: float) -> lis
         where = np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
         both = np.bincount(owner[where], minlength=len(sets))
         for j in (np.flatnonzero(both[i + 1 :] / (sizes[i] + sizes[i + 1 :] - both[i + 1 :]) >= similarity) + i + 1).tolist():
+            if sides is not None and sides[i] == sides[j]:
+                continue
             x, y = find(roots[i]), find(roots[j])
             if x != y:
                 up[max(x, y)] = min(x, y)
@@ -484,7 +498,8 @@ def missing_links(spark: SparkSession, texts: DataFrame, known: DataFrame, sets_
     one is enough. Shingles of up to PAIRED texts give pairs; where two sets
     share c of their first shingles, they share at most c + ceil(similarity * n)
     - 1 in all, n the larger size. The texts of more frequent ones are compared
-    at once. A pair is united only after it was checked.
+    in blocks of BLOCK_TEXTS, each pair of blocks in a task of its own, so no
+    task holds a group. A pair is united only after it was checked.
     """
     first = prefixes(spark, texts, scheme, similarity).repartition("token").sortWithinPartitions("token", "id")
     shared = first.mapInArrow(_shared, "token long, id long, n long").join(known, "id")
@@ -501,7 +516,7 @@ def missing_links(spark: SparkSession, texts: DataFrame, known: DataFrame, sets_
     pairs = pairs.where(less >= similarity * more - 1e-6).groupBy("id1", "id2", "n1", "n2").agg(F.sum("times").alias("both"))
     need = F.ceil(similarity / (1 + similarity) * (more + less) - 1e-6) - F.ceil(similarity * more + 1e-6) + 1
     pairs = settle(spark, pairs.where(F.col("both") >= need).select(F.col("id1").alias("a"), F.col("id2").alias("b")), "pairs")
-    crossing = crossing.where(F.col("rows") > PAIRED).select("token", "id", "root")
+    crossing = crossing.where(F.col("rows") > PAIRED).select("token", "id", "root", "rows")
     ids = crossing.select("id").union(pairs.select("a")).union(pairs.select("b"))
     sets = settle(spark, sets_of(ids.distinct()), "crossing-sets")
     checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
@@ -511,27 +526,34 @@ def missing_links(spark: SparkSession, texts: DataFrame, known: DataFrame, sets_
         ids: list[int] = []
         roots: list[int] = []
         held: list[np.ndarray] = []
-        token = None
+        sides: list[bool] = []
+        cell = None
 
         def flush() -> pa.RecordBatch:
-            found = matching(roots, held, similarity) if len(ids) > 1 else []
+            found = matching(roots, held, similarity, sides if any(sides) else None) if len(ids) > 1 else []
             out = [pa.array([ids[e[k]] for e in found], pa.int64()) for k in (0, 1)]
-            for x in (ids, roots, held):
+            for x in (ids, roots, held, sides):
                 x.clear()
             return pa.RecordBatch.from_arrays(out, names=["a", "b"])
 
         for batch in batches:
-            for t, i, r, x in zip(*(c.to_pylist() for c in batch.columns)):
-                if t != token:
+            for t, low, high, i, r, own, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if (t, low, high) != cell:
                     yield flush()
-                    token = t
+                    cell = (t, low, high)
                 ids.append(i)
                 roots.append(r)
+                sides.append(low != high and own == high)
                 held.append(np.frombuffer(x, np.uint64))
         yield flush()
         give_back()
 
-    rows = crossing.join(sets, "id").select("token", "id", "root", "set").repartition("token").sortWithinPartitions("token")
+    blocks = F.ceil(F.col("rows") / BLOCK_TEXTS).cast("int")
+    rows = crossing.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.select("token", "id", "root", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "root", "own").join(sets, "id")
+    cells = ["token", "low", "high"]
+    rows = rows.select(*cells, "id", "root", "own", "set").repartition(*cells).sortWithinPartitions(*cells)
     return rows.mapInArrow(work, "a long, b long").unionByName(checked).distinct()
 
 
@@ -545,23 +567,29 @@ def representatives(spark: SparkSession, docs: DataFrame, scheme: Scheme = STAGE
     null doc_id stays only if its group has no doc_id; of equal doc_ids the one
     with the smallest text stays. All columns of docs stay as they are.
     """
-    key, words = F.xxhash64("doc_id", "text"), None
+    # 128 bits: rows equal in doc_id and text share a key, others do not.
+    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("text").isNull().cast("string"), F.col("text"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, fps = [], []
+            marks, checks, fps = [], [], []
             for cell in batch.column(2):
                 raw = cell.as_py() or b""
-                marks.append(_mark(scheme.split(raw)))
+                words = scheme.split(raw)
+                marks.append(_mark(words))
+                checks.append(_signed(xxhash.xxh64_intdigest(b" ".join(words), 8)))
                 fps.append([_signed(x) for x in scheme.fingerprints(raw)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["row", "doc_id", "mark", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(checks, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["row", "doc_id", "mark", "check", "fp"])
         give_back()
 
     rows = docs.select(key.alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    rows = settle(spark, rows.mapInArrow(work, "row long, doc_id long, mark long, fp array<long>"), "rows")
+    rows = settle(spark, rows.mapInArrow(work, "row binary, doc_id long, mark long, check long, fp array<long>"), "rows")
     # One node for each word sequence, known by its mark; its first row stands for its text.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))
-    nodes = settle(spark, rows.groupBy("mark").agg(first.alias("first"), F.first("fp").alias("fp")).select(F.col("mark").alias("id"), "fp", "first"), "nodes")
+    texts = settle(spark, rows.groupBy("mark", "check").agg(first.alias("first"), F.first("fp").alias("fp")), "texts")
+    # Of different texts with one mark, a chance of 64 bits, one is the node and the others stay as they are.
+    one = F.min(F.struct("check", "first", "fp")).alias("n")
+    nodes = settle(spark, texts.groupBy("mark").agg(one).select(F.col("mark").alias("id"), "n.fp", "n.first", "n.check"), "nodes")
     found = settle(spark, links(spark, nodes, scheme), "candidates")
     ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
 
@@ -580,14 +608,17 @@ def representatives(spark: SparkSession, docs: DataFrame, scheme: Scheme = STAGE
     if more.limit(1).count():
         roots = components(spark, links_.unionByName(more))
     merged = nodes.join(roots, nodes["id"] == roots["node"], "left").select("first", F.coalesce("root", "id").alias("root"))
-    keep = merged.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    name = "__row"
+    (name,) = free(docs.columns, "near_row")
+    keep = merged.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(name))
+    if texts.count() != nodes.count():
+        spare = texts.join(nodes.select(F.col("id").alias("mark"), F.col("check").alias("own")), "mark").where("check <> own")
+        keep = keep.unionByName(spare.select(F.col("first.row").alias(name)))
     kept = docs.withColumn(name, key).join(keep, name, "left_semi")
     # Rows equal in doc_id and text share a key: one of them stays.
-    twins = rows.groupBy("row").count().where("count > 1").select(F.col("row").alias("__row"))
-    twins = settle(spark, twins.join(keep, "__row", "left_semi"), "twins")
+    twins = rows.groupBy("row").count().where("count > 1").select(F.col("row").alias(name))
+    twins = settle(spark, twins.join(keep, name, "left_semi"), "twins")
     if not twins.limit(1).count():
-        return kept.select(*docs.columns)
-    single = kept.join(twins, name, "left_anti").select(*docs.columns)
-    several = kept.join(twins, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    single = kept.join(twins, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    several = kept.join(twins, name, "left_semi").dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return single.unionByName(several)

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from llm_texts import sentence
 from inkloom.llm import simhash as S
@@ -53,7 +54,8 @@ def test_equals_brute_force(spark, make, rng):
 
 def test_cut_tries_give_the_same(spark, make, rng, monkeypatch):
     rows = corpus(rng)
-    monkeypatch.setattr(S, "TRIE_ROWS", 2)
+    monkeypatch.setattr(S, "TRIE_ROWS", 8)
+    monkeypatch.setattr(S, "CUTS", 2)
     out = S.near_duplicates(spark, make(rows)).collect()
     assert sorted((repr(r.doc_id), r.fingerprint, r.component_id) for r in out) == brute_components(rows)
 
@@ -127,6 +129,28 @@ def test_dense_families_equal_brute_force(spark, make, rng):
     assert sorted(r.doc_id for r in kept) == brute_kept(texts)
 
 
+def test_frequent_shingles_in_blocks_equal_brute_force(spark, make, rng, monkeypatch):
+    monkeypatch.setattr(S, "PAIRED", 4)
+    monkeypatch.setattr(S, "BLOCK_TEXTS", 7)
+    base = sentence(rng, 60, [f"w{i}" for i in range(3000)]).split(" ")
+    texts = [edited(rng, base, rng.randint(0, 3)) for _ in range(60)]
+    docs = make([(i, t, "s") for i, t in enumerate(texts)]).withColumn("near_row", F.lit("mine"))
+    kept = S.representatives(spark, docs).collect()
+    assert sorted(r.doc_id for r in kept) == brute_kept(texts) and {r.near_row for r in kept} == {"mine"}
+
+
+def test_recall_of_tries_at_known_similarity(spark, rng):
+    """Most pairs of 0.95 come from the tries; what they miss is found exactly (tests above)."""
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(60):
+        base = sentence(rng, 400, vocabulary).split(" ")
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, edited(rng, base, 2))]
+    nodes = S.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string"), S.STAGE).select(F.col("doc_id").alias("id"), "fp")
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in S.links(spark, nodes, S.STAGE).collect()}
+    assert len(found & {(2 * k, 2 * k + 1) for k in range(60)}) >= 45
+
+
 def test_short_texts_at_the_limit_are_all_found(spark, make, rng, monkeypatch):
     monkeypatch.setattr(S, "SAMPLE", 1)
     monkeypatch.setattr(S, "SEEN", 2)
