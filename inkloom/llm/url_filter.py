@@ -28,8 +28,8 @@ WANTED = (
 ).split()
 #: Hosts on which a name must occur before it counts as a word; characters of the shortest and longest word.
 SPREAD, SHORTEST, LONGEST = 2, 3, 24
-#: Starts of a stretch of a long name.
-BLOCK = 32
+#: Starts of a stretch of a long name, and parts over which URLs with one token are dealt.
+BLOCK, SALT = 32, 32
 #: Bits of a hash by which one in FOLDS of the labelled URLs is held out when agreement is measured.
 FOLDS = 5
 GENERIC = set("www m mobile com net org edu gov io co uk example html htm php asp page ref utm source feed top".split())
@@ -199,8 +199,13 @@ def fit_bayes(spark: SparkSession, found: DataFrame, labelled: DataFrame) -> Dat
 
 
 def scores(found: DataFrame, odds: DataFrame) -> DataFrame:
-    """id, score and words of each distinct URL with words: the sum of its tokens' odds."""
-    met = found.join(odds, "token", "left")
+    """id, score and words of each distinct URL with words: the sum of its tokens' odds.
+
+    Each token's odds are there SALT times, so a token that most URLs have is
+    dealt over as many tasks.
+    """
+    spread = odds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(spread, ["token", "salt"], "left")
     return met.groupBy("id").agg(F.coalesce(F.round(F.sum("odds"), 9), F.lit(0.0)).alias("score"), F.array_sort(F.collect_list("token")).alias("words"))
 
 
