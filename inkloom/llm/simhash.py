@@ -84,8 +84,9 @@ class Scheme:
 
 #: Three-word shingles, 64 bits, at most 3 bits apart.
 CONTRACT = Scheme()
-#: Five-word shingles; 8 tries of 24 bits, and at most 42 of 192 bits apart, before the exact check.
-STAGE = Scheme(words=3, width=24, near=3, far=42, size=5, plain=True)
+#: Five-word shingles; three tries of 64 bits, 4 errors each, and at most 42 of 192 bits apart, before the exact check.
+#: Of random pairs one in 2.7e13 is near in a trie of 64 bits, so candidates do not grow with the square of the rows.
+STAGE = Scheme(words=3, width=64, near=4, far=42, size=5, plain=True)
 SIMILARITY = 0.8
 
 
