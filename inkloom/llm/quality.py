@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bound on the labelled rows that the model is fitted on, and pairs drawn for each row of the rarer label.
-FIT_ROWS, PAIRS = 20_000, 8
+from inkloom.llm._shared import settle
+
+#: Rows of a label that a task holds (more rows make more tasks), and pairs drawn for each row of the commoner label.
+CHUNK_ROWS, PAIRS = 20_000, 8
+#: Bits of a score that one pass over the rows settles when the threshold is sought.
+BITS = 12
 #: Held-out folds: rows with this remainder of crc32(doc_id) are never learned from.
 FOLDS, HELD = 5, 0
 #: Scores from here on are predicted 1.
@@ -52,36 +56,99 @@ def features(raw: bytes) -> np.ndarray:
     return out
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 7, decay: float = 1e-3) -> np.ndarray:
-    """Weights w that maximise the likelihood of P(i beats j) = sigmoid(w (x_i - x_j)) over good i and bad j."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    w = np.zeros(x.shape[1])
+def pairs(good: np.ndarray, bad: np.ndarray, seed: int) -> np.ndarray:
+    """Differences x_i - x_j of drawn pairs of a good and a bad row; every row is in some."""
     if not len(good) or not len(bad):
-        return w
+        return np.zeros((0, FEATURES))
     rng = np.random.default_rng(seed)
     n = PAIRS * max(len(good), len(bad))
-    d = x[np.resize(rng.permutation(good), n)] - x[bad[rng.integers(len(bad), size=n)]]
-    for _ in range(30):  # Newton's steps
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # probability of the upset
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / n + decay * np.eye(len(w)), d.T @ p / n - decay * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    return good[np.resize(rng.permutation(len(good)), n)] - bad[rng.permutation(np.resize(np.arange(len(bad)), n))]
+
+
+#: A chunk: its number, its rows of label 1 and of label 0, and those of both that count here (chunks share rows of the rarer label).
+Chunk = tuple[int, np.ndarray, np.ndarray, tuple[bool, bool]]
+#: Runs a function on every chunk; results in the order of the chunks.
+Each = Callable[[Callable[[Chunk], np.ndarray]], list[np.ndarray]]
+
+
+def counted(chunk: Chunk) -> np.ndarray:
+    """The rows that count in a chunk, so that each row counts once in all."""
+    _, good, bad, counts = chunk
+    return np.concatenate([x for x, here in zip((good, bad), counts) if here])
+
+
+def moments(chunk: Chunk) -> np.ndarray:
+    x = counted(chunk)
+    return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+
+def ascending(values: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the floats."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
 
 
 class Model:
-    """Standardised features, Bradley-Terry weights and a threshold at a score quantile."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        if not len(x):
-            x, y = np.zeros((1, FEATURES)), np.ones(1)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        self.w = fit_pairs((x - self.mean) / self.scale, y)
-        s = np.sort(self.raw(x))
-        bad = int((y == 0).sum())
-        # As many fitted rows lie below the threshold as have label 0.
-        self.at = float(s[0] - 1 if not bad else s[-1] + 1 if bad == len(s) else (s[bad - 1] + s[bad]) / 2)
+    """Standardised features, Bradley-Terry weights and a threshold at a score quantile, all from every row of all chunks."""
+
+    def __init__(self, each: Each, n_bad: int):
+        total = sum(each(moments), np.zeros(1 + 2 * FEATURES))
+        n = int(total[0])
+        self.mean = total[1 : 1 + FEATURES] / max(1, n)
+        self.scale = np.sqrt(np.maximum(0, total[1 + FEATURES :] / max(1, n) - self.mean**2)) + 1e-6
+        self.w, self.at = np.zeros(FEATURES), 1.0 if n and n_bad == n else -1.0
+        if 0 < n_bad < n:
+            self.w = self._weights(each)
+            self.at = self._threshold(each, n_bad)
+
+    def _weights(self, each: Each, seed: int = 7, decay: float = 1e-3) -> np.ndarray:
+        """The w that maximises the likelihood of P(i beats j) = sigmoid(w (x_i - x_j)) over the pairs of good i and bad j."""
+        w, scale = np.zeros(FEATURES), self.scale
+        for _ in range(30):  # Newton's steps
+
+            def slope(chunk: Chunk) -> np.ndarray:
+                d = pairs(chunk[1], chunk[2], seed + chunk[0]) / scale
+                p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # probability of the upset
+                return np.concatenate([[len(d)], d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+            total = sum(each(slope), np.zeros(1 + FEATURES + FEATURES**2))
+            n, up, curve = max(1.0, total[0]), total[1 : 1 + FEATURES], total[1 + FEATURES :].reshape(FEATURES, FEATURES)
+            step = np.linalg.solve(curve / n + decay * np.eye(FEATURES), up / n - decay * w)
+            w = w + step
+            if np.abs(step).max() < 1e-8:
+                break
+        return w
+
+    def _threshold(self, each: Each, n_bad: int) -> float:
+        """Midway between the scores of rank n_bad - 1 and n_bad: as many rows lie below as have label 0.
+
+        The first is settled by its leading bits, BITS more with each pass, so no scores are gathered.
+        """
+        rank, head, known = n_bad - 1, 0, 0
+        while known < 64:
+            more = min(BITS, 64 - known)
+
+            def bins(chunk: Chunk) -> np.ndarray:
+                u = ascending(self.raw(counted(chunk)))
+                if known:
+                    u = u[u >> np.uint64(64 - known) == np.uint64(head)]
+                return np.bincount((u >> np.uint64(64 - known - more)).astype(np.int64) & ((1 << more) - 1), minlength=1 << more)
+
+            ends = np.cumsum(sum(each(bins), np.zeros(1 << more, np.int64)))
+            at = int(np.searchsorted(ends, rank, side="right"))
+            rank -= int(ends[at - 1]) if at else 0
+            head, known = (head << more) | at, known + more
+            same = int(ends[at] - (ends[at - 1] if at else 0))
+        bits = np.uint64(head)
+        low = float((bits & ~np.uint64(1 << 63) if bits >> np.uint64(63) else ~bits).reshape(1).view(np.float64)[0])
+        if rank + 1 < same:
+            return low
+
+        def above(chunk: Chunk) -> np.ndarray:
+            s = self.raw(counted(chunk))
+            return np.append(s[ascending(s) > bits], np.inf).min(keepdims=True)
+
+        return (low + float(min(x[0] for x in each(above)))) / 2
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.w
@@ -96,31 +163,66 @@ def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model of labels.quality, from at most `rows` labelled rows outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = CHUNK_ROWS) -> Model:
+    """A model of labels.quality, from every labelled row outside the held-out fold.
 
-    The rows are those with the smallest hashes of doc_id, so they are the same
-    in every run; of several texts of a doc_id the one with the smallest features
+    rows: of a label, about so many are held by a task; more rows make more
+    tasks. Of several texts of a doc_id the one with the smallest features
     counts. Null labels, labels other than 0 and 1 and null doc_ids are
-    left out; without rows of both labels all scores are alike and above CUT.
+    left out; without rows of both labels all scores are alike, and above CUT unless
+    all labels are 0.
     """
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y"))
     known = known.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    # At most `rows` rows of two numbers: small enough for every task.
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    chosen = texts.join(F.broadcast(known), "id").select("id", "y", "text")
+    texts = texts.where(F.col("id").isNotNull() & ~held_out(F.col("id")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(cell.as_py() or b"").tolist() for cell in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
-
-    # One text for each doc_id, so at most `rows` rows come to the driver.
-    once = chosen.mapInArrow(work, "id long, y int, x array<double>").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
-    got = once.toPandas().sort_values("id")
-    x = np.array(got["x"].tolist()).reshape(len(got), FEATURES)
-    return Model(x, got["y"].to_numpy(dtype=int))
+            x = [features(cell.as_py() or b"").tolist() for cell in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["id", "x"])
+
+    # Features are a small part of a text: the exchange for the join carries them alone.
+    shapes = texts.mapInArrow(work, "id long, x array<double>").groupBy("id").agg(F.min("x").alias("x"))
+    learned = settle(spark, shapes.join(known, "id").select("id", "y", "x"), "labelled")
+    n = {r.y: r["count"] for r in learned.groupBy("y").count().collect()}
+    rare = int(n.get(1, 0) < n.get(0, 0))
+    shared = max(1, math.ceil(n.get(rare, 0) / rows))
+    count = max(shared, math.ceil(n.get(1 - rare, 0) / rows))
+    # A chunk of the rarer label goes to each chunk of the commoner one with its number, modulo their number.
+    lot = F.xxhash64("id")
+    own = F.pmod(lot, F.lit(shared)).cast("int")
+    where = F.when(F.col("y") == rare, F.sequence(own, F.lit(count - 1), F.lit(shared))).otherwise(F.array(F.pmod(lot, F.lit(count)).cast("int")))
+    dealt = learned.select(F.explode(where).alias("chunk"), "id", "y", "x")
+
+    def pack(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("id").to_numpy())
+        y = group.column("y").to_numpy()[order]
+        x = np.asarray(group.column("x").combine_chunks().flatten()).reshape(-1, FEATURES)[order]
+        k = group.column("chunk")[0].as_py()
+        return pa.table({"chunk": pa.array([k], pa.int32()), "good": [x[y == 1].tobytes()], "bad": [x[y == 0].tobytes()]})
+
+    packed = settle(spark, dealt.groupBy("chunk").applyInArrow(pack, "chunk int, good binary, bad binary"), "chunks")
+
+    def chunk_of(k: int, good: bytes, bad: bytes) -> Chunk:
+        x1, x0 = (np.frombuffer(b).reshape(-1, FEATURES) for b in (good, bad))
+        return k, x1, x0, (k < shared or rare == 0, k < shared or rare == 1)
+
+    if count == 1:
+        held = [chunk_of(r.chunk, bytes(r.good), bytes(r.bad)) for r in packed.collect()]
+        return Model(lambda f: [f(c) for c in held], n.get(0, 0))
+
+    def each(f: Callable[[Chunk], np.ndarray]) -> list[np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k, good, bad in zip(*(c.to_pylist() for c in batch.columns)):
+                    out = np.asarray(f(chunk_of(k, good, bad)))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([out.tobytes()]), pa.array([out.dtype.str])], names=["chunk", "out", "kind"])
+
+        return [np.frombuffer(bytes(r.out), r.kind) for r in sorted(packed.mapInArrow(run, "chunk int, out binary, kind string").collect(), key=lambda r: r.chunk)]
+
+    return Model(each, n.get(0, 0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

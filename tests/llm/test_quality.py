@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from llm_texts import sentence
 from inkloom.llm import quality as Q
 
@@ -53,3 +55,17 @@ def test_fit_bound(spark, make, rng):
     docs, named = make(rows), spark.createDataFrame(labels, LABELS)
     a, b = Q.fit(docs, named, 60), Q.fit(docs, named, 60)
     assert (a.w == b.w).all()
+
+
+def test_every_labelled_row_counts_in_any_number_of_chunks(spark, make, rng):
+    rows, labels = data(rng, 300)
+    docs, named = make(rows), spark.createDataFrame(labels, LABELS)
+    learned = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    x = np.array([Q.features(rows[i][1].encode()) for i in learned])
+    bad = sum(labels[i][1] == 0 for i in learned)
+    for size in (1000, 20):
+        model = Q.fit(docs, named, size)
+        assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-6)
+        s = np.sort(model.raw(x))
+        assert model.at == (s[bad - 1] + s[bad]) / 2 or np.isclose(model.at, (s[bad - 1] + s[bad]) / 2, atol=1e-12)
+        assert [(v > model.at) for v in model.raw(x)] == [labels[i][1] == 1 for i in learned]
