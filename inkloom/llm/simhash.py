@@ -491,6 +491,41 @@ def matching(roots: list[int], sets: list[np.ndarray], similarity: float, sides:
     return out
 
 
+def hopeful(token: int, sizes: np.ndarray, lists: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, similarity: float) -> np.ndarray:
+    """Which texts of a cell can have a partner of another root in it, going by their first shingles.
+
+    lists: token, times and often (1 for frequent ones) of the first shingles of
+    each text, as columns by rising token. A pair belongs to the cells of its
+    smallest frequent token alone. With sides, only pairs of different sides count.
+    """
+    found = np.zeros(len(lists), bool)
+    flat = np.concatenate(lists, axis=1)
+    names, codes = np.unique(flat[0], return_inverse=True)
+    own = int(np.searchsorted(names, token))
+    owner = np.repeat(np.arange(len(lists)), [x.shape[1] for x in lists])[np.argsort(codes, kind="stable")]
+    ends = np.cumsum(np.bincount(codes))
+    starts = ends - np.bincount(codes)
+    at = np.concatenate(([0], np.cumsum([x.shape[1] for x in lists])))
+    for i in range(len(lists) - 1):
+        mine, times, often = codes[at[i] : at[i + 1]], flat[1, at[i] : at[i + 1]], flat[2, at[i] : at[i + 1]] > 0
+        n = ends[mine] - starts[mine]
+        who = owner[np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        both = np.bincount(who, weights=np.repeat(times, n), minlength=len(lists))
+        least = np.full(len(lists), -1)
+        shared, named = who[np.repeat(often, n)], np.repeat(mine[often], n[often])
+        least[shared[::-1]] = named[::-1]  # the smallest is written last
+        more, less = np.maximum(sizes, sizes[i]), np.minimum(sizes, sizes[i])
+        need = np.ceil(similarity / (1 + similarity) * (more + less) - 1e-6) - np.ceil(similarity * more + 1e-6) + 1
+        fit = (both >= need) & (less >= similarity * more - 1e-6) & (roots != roots[i]) & (least == own)
+        if sides.any():
+            fit &= sides != sides[i]
+        fit[: i + 1] = False
+        if fit.any():
+            found |= fit
+            found[i] = True
+    return found
+
+
 def missing_links(spark: SparkSession, texts: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scheme: Scheme, similarity: float) -> DataFrame:
     """Links a, b of at least `similarity` that join components of known (id, root), enough to connect all that have one.
 
@@ -500,7 +535,8 @@ def missing_links(spark: SparkSession, texts: DataFrame, known: DataFrame, sets_
     share c of their first shingles, they share at most c + ceil(similarity * n)
     - 1 in all, n the larger size. The texts of more frequent ones are compared
     in blocks of BLOCK_TEXTS, each pair of blocks in a task of its own, so no
-    task holds a group. A pair is united only after it was checked.
+    task holds a group; first by their first shingles, then, where these leave
+    a pair possible, by whole sets. A pair is united only after it was checked.
     """
     first = prefixes(spark, texts, scheme, similarity).repartition("token").sortWithinPartitions("token", "id")
     shared = first.mapInArrow(_shared, "token long, id long, n long").join(known, "id")
@@ -517,8 +553,42 @@ def missing_links(spark: SparkSession, texts: DataFrame, known: DataFrame, sets_
     pairs = pairs.where(less >= similarity * more - 1e-6).groupBy("id1", "id2", "n1", "n2").agg(F.sum("times").alias("both"))
     need = F.ceil(similarity / (1 + similarity) * (more + less) - 1e-6) - F.ceil(similarity * more + 1e-6) + 1
     pairs = settle(spark, pairs.where(F.col("both") >= need).select(F.col("id1").alias("a"), F.col("id2").alias("b")), "pairs")
-    crossing = crossing.where(F.col("rows") > PAIRED).select("token", "id", "root", "rows")
-    ids = crossing.select("id").union(pairs.select("a")).union(pairs.select("b"))
+    entry = F.struct("token", F.col("times").cast("long").alias("times"), (F.col("rows") > PAIRED).cast("long").alias("often"))
+    cells = ["token", "low", "high"]
+    blocks = F.ceil(F.col("rows") / BLOCK_TEXTS).cast("int")
+    rows = crossing.where(F.col("rows") > PAIRED).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.select("token", "id", "root", "n", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "root", "n", "own")
+    # No more than the first shingles of a text.
+    lists = crossing.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("first"))
+    lists = lists.select("id", *[F.col(f"first.{c}").alias(c) for c in ("times", "often")], F.col("first.token").alias("tokens"))
+    rows = rows.join(lists, "id").select(*cells, "id", "root", "n", "own", "tokens", "times", "often")
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        cell = None
+
+        def flush() -> pa.RecordBatch:
+            token, low, high = cell or (0, 0, 0)
+            ids, roots, sizes, own = (np.array([r[k] for r in held], np.int64) for k in range(4))
+            found = hopeful(token, sizes, [r[4] for r in held], roots, (own == high) & (low != high), similarity) if len(held) > 1 else np.zeros(len(held), bool)
+            held.clear()
+            n = int(found.sum())
+            out = [np.full(n, token, np.int64), np.full(n, low, np.int32), np.full(n, high, np.int32), ids[found], roots[found], own[found].astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[*cells, "id", "root", "own"])
+
+        for batch in batches:
+            for t, low, high, i, r, n, own, *first in zip(*(c.to_pylist() for c in batch.columns)):
+                if (t, low, high) != cell:
+                    yield flush()
+                    cell = (t, low, high)
+                held.append([i, r, n, own, np.array(first, np.int64)])
+        yield flush()
+        give_back()
+
+    rows = rows.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(narrowed, "token long, low int, high int, id long, root long, own int")
+    rows = settle(spark, rows, "hopeful")
+    ids = rows.select("id").union(pairs.select("a")).union(pairs.select("b"))
     sets = settle(spark, sets_of(ids.distinct()), "crossing-sets")
     checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     checked = checked.where(_jaccard("x", "y") >= similarity).select("a", "b")
@@ -549,11 +619,7 @@ def missing_links(spark: SparkSession, texts: DataFrame, known: DataFrame, sets_
         yield flush()
         give_back()
 
-    blocks = F.ceil(F.col("rows") / BLOCK_TEXTS).cast("int")
-    rows = crossing.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.select("token", "id", "root", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "root", "own").join(sets, "id")
-    cells = ["token", "low", "high"]
+    rows = rows.join(sets, "id")
     rows = rows.select(*cells, "id", "root", "own", "set").repartition(*cells).sortWithinPartitions(*cells)
     return rows.mapInArrow(work, "a long, b long").unionByName(checked).distinct()
 

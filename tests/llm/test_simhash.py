@@ -159,3 +159,14 @@ def test_short_texts_at_the_limit_are_all_found(spark, make, rng, monkeypatch):
     texts += [f"{t} more" for t in texts]  # 4 of 5 shingles shared
     kept = S.representatives(spark, make([(i, t, "s") for i, t in enumerate(texts)])).collect()
     assert sorted(r.doc_id for r in kept) == brute_kept(texts) == list(range(60))
+
+
+def test_texts_that_share_a_frequent_line_alone_bring_no_sets(spark, make, rng, monkeypatch):
+    monkeypatch.setattr(S, "PAIRED", 4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    line = sentence(rng, 12, vocabulary)
+    texts = [f"{line} {sentence(rng, 60, vocabulary)}" for _ in range(30)]
+    asked, real = [], S._shingled
+    monkeypatch.setattr(S, "_shingled", lambda docs, scheme: asked.append(docs.count()) or real(docs, scheme))
+    kept = S.representatives(spark, make([(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert sorted(r.doc_id for r in kept) == brute_kept(texts) and sum(asked) == 0
